@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plenaria.plans import history
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES: tuple = ()
+MODULES: tuple = (history,)
 
 FLAGSHIP = "x2_distinctive_phrases"
 
