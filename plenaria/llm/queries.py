@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plenaria.llm import terms
+from plenaria.llm import mixing, packing, residue, terms, transcripts
 from plenaria.sources.tables import table
 
 # --- problems 1 and 3: terms -------------------------------------------------
@@ -56,10 +57,64 @@ _P3 = (
 ranked AS (SELECT pid, session_uid, row_number() OVER (PARTITION BY pid, session_uid ORDER BY uses DESC, term)::INTEGER AS rank_no, term, uses FROM summed) """
 )
 
+# --- problem 2: transcripts --------------------------------------------------
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of every sitting, with the one person who speaks."""
+    return transcripts.turns(table(spark, sf_dir, "transcript_lines"), table(spark, sf_dir, "politicians", "acteur_id", "full_name"))
+
+
+# --- problems 7 and 8: containers and mixtures -------------------------------
+
+CAPACITY = 2048
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in containers of 2,048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), CAPACITY)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full each container is."""
+    fill = F.sum("units")
+    return p7_pack(spark, sf_dir).groupBy("container_id").agg(F.count(F.lit(1)).alias("pieces"), fill.alias("tokens"), (fill / CAPACITY).alias("fill"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of documents that make up the mixture."""
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    return mixing.shares(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "source_targets"))
+
+
+# --- problem 9: residue ------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue, filler, an error page or a script notice."""
+    return p9_residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the kinds of residue, and whether the document's own label is trusted."""
+    return residue.residue(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "p1_found": (p1_found, _P1 + "SELECT term, mark FROM marked WHERE mark <> 'useful'"),
     "p1_frequency": (p1_frequency, _P1 + "SELECT * FROM marked"),
+    "p2_found": (p2_found, None),
     "p3_found": (p3_found, _P3 + "SELECT pid, session_uid, rank_no, term FROM ranked WHERE rank_no <= 5"),
+    "p7_pack": (p7_pack, None),
+    "p7_containers": (p7_containers, None),
+    "p8_mixture": (p8_mixture, None),
+    "p8_shares": (p8_shares, None),
+    "p9_found": (p9_found, None),
+    "p9_residue": (p9_residue, None),
     "p3_top_terms": (p3_top_terms, _P3 + "SELECT * FROM ranked WHERE rank_no <= 5"),
 }
 
