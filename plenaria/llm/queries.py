@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria.llm import mixing, packing, residue, terms, transcripts
+from plenaria.llm import mixing, packing, residue, subjects, terms, transcripts
 from plenaria.sources.tables import table
 
 # --- problems 1 and 3: terms -------------------------------------------------
@@ -65,6 +65,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.turns(table(spark, sf_dir, "transcript_lines"), table(spark, sf_dir, "politicians", "acteur_id", "full_name"))
 
 
+# --- problem 4: subjects -----------------------------------------------------
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that each speech deals with."""
+    return p4_subjects(spark, sf_dir).select("sid", "domain_id")
+
+
+def p4_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each subject's share of the speech, and whether content or a title names it."""
+    said = table(spark, sf_dir, "speeches", "sid", "content", "dossier_title", "debate_title", "loaded_at")
+    return subjects.subjects(said, table(spark, sf_dir, "domains"), table(spark, sf_dir, "topic_labels"))
+
+
 # --- problems 7 and 8: containers and mixtures -------------------------------
 
 CAPACITY = 2048
@@ -109,6 +123,8 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "p1_frequency": (p1_frequency, _P1 + "SELECT * FROM marked"),
     "p2_found": (p2_found, None),
     "p3_found": (p3_found, _P3 + "SELECT pid, session_uid, rank_no, term FROM ranked WHERE rank_no <= 5"),
+    "p4_found": (p4_found, None),
+    "p4_subjects": (p4_subjects, None),
     "p7_pack": (p7_pack, None),
     "p7_containers": (p7_containers, None),
     "p8_mixture": (p8_mixture, None),
