@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.plans import history
+from plenaria.plans import history, phrases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES: tuple = (history,)
+MODULES: tuple = (history, phrases)
 
 FLAGSHIP = "x2_distinctive_phrases"
 
