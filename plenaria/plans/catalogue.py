@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.plans import history, phrases
+from plenaria.plans import ballots, chamber, history, phrases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES: tuple = (history, phrases)
+MODULES: tuple = (history, phrases, ballots, chamber)
 
 FLAGSHIP = "x2_distinctive_phrases"
 
