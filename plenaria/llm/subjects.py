@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
@@ -58,59 +59,86 @@ def sentences(paragraphs) -> list[str]:
 class Encoded:
     """A batch of documents as arrays: words by sentence, sentences by document."""
 
-    keys: np.ndarray
+    documents: int
     owner: np.ndarray  # document of each sentence
     title: np.ndarray  # 0: content, 1: first title, 2: second title
     prints: np.ndarray  # fingerprint of each sentence
-    words: np.ndarray  # bucket of each word
+    words: np.ndarray  # bucket of each word, once in a sentence
     of: np.ndarray  # sentence of each word
-    texts: list[str]
-
-
-def encode(batch: pd.DataFrame, key: str, content: str, titles: list[str], seen: dict[str, int], with_texts: bool = False) -> Encoded:
-    owner, title, prints, words, lengths, texts = [], [], [], [], [], []
-
-    def add(i: int, kind: int, sentence: str) -> None:
-        own = _WORD.findall(sentence)
-        owner.append(i)
-        title.append(kind)
-        prints.append(xxhash.xxh64_intdigest(sentence))
-        lengths.append(len(own))
-        if with_texts:
-            texts.append(" " + " ".join(own) + " ")
-        for w in own:
-            b = seen.get(w)
-            if b is None:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                b = seen[w] = zlib.crc32(w.encode()) % BUCKETS
-            words.append(b)
-
-    for i, paragraphs in enumerate(batch[content]):
-        for s in sentences(paragraphs):
-            add(i, 0, s)
-    for kind, c in enumerate(titles, 1):
-        for i, t in enumerate(batch[c]):
-            if isinstance(t, str) and t.strip():
-                add(i, kind, plain(t))
-    return Encoded(
-        batch[key].to_numpy(), np.array(owner, np.int64), np.array(title, np.int8), np.array(prints, np.uint64).view(np.int64),
-        np.array(words, np.int64), np.repeat(np.arange(len(lengths)), lengths), texts,
-    )
+    batch: pa.RecordBatch
 
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Encoded:
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = batch.column(batch.schema.get_field_index(name))
+            return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
-@dataclass
-class Layout:
-    """Which columns hold what."""
+        lengths, held = flat("lengths")
+        words, _ = flat("words")
+        owner = np.repeat(np.arange(batch.num_rows), held)
+        return cls(batch.num_rows, owner, flat("kinds")[0], flat("prints")[0], words.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), batch)
+
+    def column(self, name: str) -> pa.Array:
+        return self.batch.column(self.batch.schema.get_field_index(name))
+
+    def matrix(self, name: str, width: int) -> np.ndarray:
+        return self.column(name).flatten().to_numpy(zero_copy_only=False).reshape(self.documents, width)
+
+    def sums(self, rows: np.ndarray, columns: np.ndarray, width: int, weights: np.ndarray | None = None, height: int | None = None) -> np.ndarray:
+        """A table of sums of ``weights`` (else counts) by row and column."""
+        height = self.documents if height is None else height
+        return np.bincount(rows * width + columns, weights, minlength=height * width).reshape(height, width)
 
-    key: str
-    content: str
-    titles: list[str]
 
-    def encoded(self, batches: Iterator[pd.DataFrame], with_texts: bool = False) -> Iterator[tuple[pd.DataFrame, Encoded]]:
+def encoder(key: str, content: str, titles: list[str], keep: np.ndarray, keywords: list[tuple[int, str]], subjects: int):
+    """A partition function from texts to the arrays of :class:`Encoded`; only words in ``keep`` stay."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for d, k in keywords:
+            finder.add_word(k, (d, k))
+        if keywords:
+            finder.make_automaton()
         seen: dict[str, int] = {}
+
+        def bucket(w: str) -> int:
+            b = zlib.crc32(w.encode()) % BUCKETS
+            if len(seen) > 1_000_000:
+                seen.clear()
+            b = seen[w] = b if keep[b] else -1
+            return b
+
         for batch in batches:
-            yield batch, encode(batch, self.key, self.content, self.titles, seen, with_texts)
+            columns = [batch[c].tolist() for c in titles]
+            rows = []
+            for i, paragraphs in enumerate(batch[content]):
+                words, lengths, prints, kinds, hits = [], [], [], [], [0] * subjects
+                parts = [(0, x) for x in sentences(paragraphs)]
+                for kind, c in enumerate(columns, 1):
+                    if isinstance(c[i], str) and c[i].strip():
+                        parts.append((kind, plain(c[i])))
+                text = []
+                for kind, sentence in parts:
+                    found = _WORD.findall(sentence)
+                    own = {seen[w] if w in seen else bucket(w) for w in found}
+                    own.discard(-1)
+                    words.extend(own)
+                    lengths.append(len(own))
+                    prints.append(xxhash.xxh64_intdigest(sentence) - (1 << 63))
+                    kinds.append(kind)
+                    if kind == 0:
+                        text.append(" ".join(found))
+                if keywords and text:
+                    for _, (d, _) in finder.iter(" " + "  ".join(text) + " "):
+                        hits[d] += 1
+                rows.append((words, lengths, prints, kinds, hits))
+            out = pd.DataFrame(rows, columns=["words", "lengths", "prints", "kinds", "hits"])
+            out.insert(0, key, batch[key].to_numpy())
+            yield out.assign(given=batch["given"].to_numpy())
+
+    return run
 
 
 def _directions() -> np.ndarray:
@@ -118,6 +146,24 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(11).choice(np.array([-1, 1], np.float32), size=(BUCKETS, DIMENSIONS))
 
 
+def vectors_of(e: Encoded, idf: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF vectors of a batch's contents, projected by random signs; zero where nothing is left."""
+    out = np.zeros((e.documents, DIMENSIONS), np.float32)
+    own = e.title[e.of] == 0
+    pairs, counts = np.unique(e.owner[e.of[own]] * BUCKETS + e.words[own], return_counts=True)
+    value = ((1 + np.log(counts)) * idf[pairs % BUCKETS]).astype(np.float32)
+    pairs, value = pairs[value > 0], value[value > 0]
+    docs, words = pairs // BUCKETS, pairs % BUCKETS
+    cuts = np.flatnonzero(np.diff(docs, prepend=-1))
+    for at in range(0, len(cuts), 512):  # so many documents at a time, for memory
+        some = cuts[at : at + 512]
+        end = cuts[at + 512] if at + 512 < len(cuts) else len(docs)
+        rows = value[some[0] : end, None] * signs[words[some[0] : end]]
+        out[docs[some]] = np.add.reduceat(rows, some - some[0], axis=0)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 1e-6, norm, 1)
+
+
 class Classifier:
     """Weights of words for subjects, and set phrases that speak for none."""
 
@@ -134,21 +180,20 @@ class Classifier:
 
     def sentence_subjects(self, e: Encoded) -> np.ndarray:
         """The subject of each sentence, -1 where it is about none."""
-        scores = np.zeros((len(e.owner), self.n), np.float32)
-        once = np.unique(e.of * BUCKETS + e.words)
-        of, words = once // BUCKETS, once % BUCKETS
-        np.add.at(scores, (of, self.subject[words]), self.weight[words])
-        if len(scores) == 0:
+        n, count = self.n, len(e.owner)
+        if count == 0:
             return np.zeros(0, np.int64)
-        top = np.partition(scores, self.n - 2, axis=1) if self.n > 1 else np.hstack([np.zeros_like(scores), scores])
+        weight = self.weight[e.words]
+        some = weight > 0
+        scores = e.sums(e.of[some], self.subject[e.words[some]].astype(np.int64), n, weight[some], count)
+        top = np.partition(scores, n - 2, axis=1) if n > 1 else np.hstack([np.zeros_like(scores), scores])
         clear = (top[:, -1] - top[:, -2] >= MARGIN) & ~np.isin(e.prints, self.set_phrases)
         return np.where(clear, scores.argmax(axis=1), -1)
 
     def mixtures(self, e: Encoded, found: np.ndarray) -> np.ndarray:
         """Sentences of each document's content by subject."""
         own = (e.title == 0) & (found >= 0)
-        flat = np.bincount(e.owner[own] * self.n + found[own], minlength=len(e.keys) * self.n)
-        return flat.reshape(len(e.keys), self.n)
+        return e.sums(e.owner[own], found[own], self.n)
 
 
 def dealt_with(mixture: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -163,30 +208,46 @@ def dealt_with(mixture: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class SubjectModel:
-    """The steps of :func:`subjects`; each pass reads the documents once and sends bounded sums."""
+    """The steps of :func:`subjects`.
+
+    Texts are read twice: to count words, and to encode them as arrays in the
+    checkpoint folder. Every later pass is narrow over those arrays and sends sums
+    of bounded size.
+    """
 
     def __init__(self, documents: DataFrame, key: str, content: str, titles: list[str], domains: list[str], keywords: list[tuple[int, str]], labels: DataFrame) -> None:
-        self.documents = documents.select(key, content, *titles)
-        self.key, self.layout = key, Layout(key, content, titles)
-        self.domains, self.keywords, self.labels = domains, keywords, labels
+        self.key, self.content, self.titles = key, content, titles
+        self.domains, self.keywords = domains, keywords
+        given = labels.groupBy(key).agg(F.array_sort(F.collect_set("subject")).alias("given"))
+        self.documents = documents.select(key, content, *titles).join(broadcast_if_small(given), key, "left")
         self.kind = documents.schema[key].dataType.simpleString()
 
     def document_frequencies(self) -> tuple[np.ndarray, int]:
         """Documents of every bucket, and documents with words."""
-
-        layout = self.layout
+        content = self.content
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros(BUCKETS, np.int64), 0
-            for _, e in layout.encoded(batches):
-                own = e.title[e.of] == 0
-                pairs = np.unique(e.owner[e.of[own]] * BUCKETS + e.words[own])
-                total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-                n += len(np.unique(pairs // BUCKETS))
+            total, n, seen = np.zeros(BUCKETS, np.int64), 0, {}
+            for batch in batches:
+                every: list[int] = []
+                for paragraphs in batch[content]:
+                    if paragraphs is None:
+                        continue
+                    words = set(_WORD.findall(" ".join(p for p in paragraphs if p).lower()))
+                    n += bool(words)
+                    for w in words:
+                        b = seen.get(w)
+                        if b is None:
+                            if len(seen) > 1_000_000:
+                                seen.clear()
+                            b = seen[w] = zlib.crc32(w.encode()) % BUCKETS
+                        every.append(b)
+                if every:
+                    total += np.bincount(every, minlength=BUCKETS)
             at = np.flatnonzero(total)
             yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(total[at], n)})
 
-        found = self.documents.mapInPandas(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+        found = self.documents.select(content).mapInPandas(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
         df, live = np.zeros(BUCKETS, np.int64), 0
         own = found[found["b"] >= 0]
         df[own["b"]] = own["n"]
@@ -194,104 +255,102 @@ class SubjectModel:
             live = int(found.loc[found["b"] < 0, "n"].iloc[0])
         return df, live
 
-    def vectors(self, df: np.ndarray, live: int) -> DataFrame:
-        """Normalised vectors of documents with words, and which subjects' keywords they hold."""
-        rare = 2 if live < 5_000 else 3
-        idf = np.where((df >= rare) & (df <= 0.15 * live), np.log((1 + live) / (1 + df)), 0).astype(np.float32)
-        n = len(self.domains)
+    def encode(self, df: np.ndarray, live: int) -> None:
+        """Write the documents' arrays, without words that are too rare or too common to tell subjects."""
+        keep = (df >= 2) & (df <= max(2, 0.15 * live))
+        self.idf = np.where(keep, np.log((1 + live) / (1 + np.maximum(df, 1))), 0).astype(np.float32)
+        self.live = live
+        run = encoder(self.key, self.content, self.titles, keep, self.keywords, len(self.domains))
+        schema = f"`{self.key}` {self.kind}, words array<int>, lengths array<int>, prints array<bigint>, kinds array<int>, hits array<int>, given array<int>"
+        self.arrays = checkpoint(self.documents.mapInPandas(run, schema))
 
-        layout, key, keywords = self.layout, self.key, self.keywords
+    def grow_tree(self) -> None:
+        """Bisecting k-means over the vectors of all documents with words; keeps the leaves' centres."""
+        idf = self.idf
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signs = _directions()
-            for _, e in layout.encoded(batches, True):
-                own = e.title[e.of] == 0
-                pairs, counts = np.unique(e.owner[e.of[own]] * BUCKETS + e.words[own], return_counts=True)
-                docs, words = pairs // BUCKETS, pairs % BUCKETS
-                out = np.zeros((len(e.keys), DIMENSIONS), np.float32)
-                value = ((1 + np.log(counts)) * idf[words]).astype(np.float32)
-                live_at = np.flatnonzero(value)
-                for at in range(0, len(live_at), 200_000):
-                    some = live_at[at : at + 200_000]
-                    np.add.at(out, docs[some], value[some, None] * signs[words[some]])
-                norm = np.linalg.norm(out, axis=1)
-                hits = np.zeros((len(e.keys), n), np.int32)
-                for i, text in zip(e.owner, e.texts):
-                    for d, k in keywords:
-                        if k in text:
-                            hits[i, d] += 1
-                keep = np.flatnonzero(norm > 1e-6)
-                yield pd.DataFrame({key: e.keys[keep], "vector": list(out[keep] / norm[keep, None]), "hits": list(hits[keep])})
-
-        return checkpoint(self.documents.mapInPandas(run, f"`{self.key}` {self.kind}, vector array<float>, hits array<int>"))
-
-    def leaves(self, vectors: DataFrame) -> DataFrame:
-        """``key``, ``leaf``, ``hits``: the leaf of each document in a tree of bisecting k-means."""
-        rows = vectors.select(self.key, "hits", array_to_vector("vector").alias("features"))
+            for batch in batches:
+                own = vectors_of(Encoded.read(batch), idf, signs)
+                own = own[np.abs(own).sum(axis=1) > 0]
+                values = pa.ListArray.from_arrays(np.arange(0, own.size + 1, DIMENSIONS, dtype=np.int32), pa.array(own.ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([values], ["vector"])
+
+        rows = self.arrays.mapInArrow(run, "vector array<float>").select(array_to_vector("vector").alias("features"))
         if rows.limit(2).count() < 2:
-            return rows.select(self.key, F.lit(0).alias("leaf"), "hits")
-        tree = BisectingKMeans(k=LEAVES, maxIter=8, seed=7, featuresCol="features", predictionCol="leaf").fit(rows)
-        return checkpoint(tree.transform(rows).select(self.key, "leaf", "hits"))
+            self.centres = np.ones((1, DIMENSIONS), np.float32)
+            return
+        tree = BisectingKMeans(k=LEAVES, maxIter=8, seed=7, featuresCol="features").fit(rows)
+        centres = np.array(tree.clusterCenters(), np.float32)
+        self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
-    def leaf_mixtures(self, placed: DataFrame) -> np.ndarray:
+    def leaf_mixtures(self) -> np.ndarray:
         """Subjects of each leaf: by the keywords among its terms and the labels among its documents."""
-        n = len(self.domains)
-        sums = [F.sum(F.when(F.col("hits")[d] > 0, 1).otherwise(0)).alias(f"h{d}") for d in range(n)]
-        held = placed.groupBy("leaf").agg(*sums).toPandas()
-        marked = placed.select(self.key, "leaf").join(self.labels, self.key).groupBy("leaf", "subject").count().toPandas()
-        size = int(max([0, *held["leaf"], *marked["leaf"]])) + 1
-        words, given = np.zeros((size, n)), np.zeros((size, n))
-        for row in held.itertuples(index=False):
-            words[row[0]] = row[1:]
-        for leaf, subject, count in marked.itertuples(index=False):
-            if subject >= 0:
-                given[leaf, subject] += count
+        idf, centres, n = self.idf, self.centres, len(self.domains)
+        size = len(centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            signs, total = _directions(), np.zeros((2, size, n))
+            for batch in batches:
+                e = Encoded.read(batch)
+                own = vectors_of(e, idf, signs)
+                leaf, live = (own @ centres.T).argmax(axis=1), np.abs(own).sum(axis=1) > 0
+                held = (e.matrix("hits", n) > 0) & live[:, None]
+                np.add.at(total[0], leaf, held)
+                for i, given in enumerate(e.column("given").to_pylist()):
+                    for d in given or ():
+                        if d >= 0 and live[i]:
+                            total[1, leaf[i], d] += 1
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["b", "v"])
+
+        found = self.arrays.mapInArrow(run, "b bigint, v double").groupBy("b").agg(F.sum("v").alias("v")).toPandas()
+        total = np.zeros(2 * size * n)
+        total[found["b"]] = found["v"]
+        words, given = total.reshape(2, size, n)
         mix = words / np.maximum(words.sum(axis=0), 1) + given / np.maximum(given.sum(axis=0), 1)
         mix = (mix / np.maximum(mix.sum(axis=1, keepdims=True), 1e-9)) ** 1.5
         whole = mix.sum(axis=1, keepdims=True)
         return np.where(whole > 0, mix / np.maximum(whole, 1e-9), 1 / n)
 
-    def priors(self, placed: DataFrame, mixes: np.ndarray) -> DataFrame:
-        """``key``, ``prior``: a document's subjects by its label, else by its leaf and keywords."""
-        n = len(self.domains)
-        given = self.labels.groupBy(self.key).agg(F.collect_set("subject").alias("given"))
-        table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in mixes])
-        by_leaf = F.element_at(table, F.col("leaf") + 1)
-        held = F.aggregate("hits", F.lit(0), lambda a, x: a + x)
-        mixed = F.when(held > 0, F.zip_with(by_leaf, "hits", lambda p, h: (p + 0.01) * (h + 0.1))).otherwise(by_leaf)
-        labelled = F.array(*[F.array_contains("given", d).cast("double") for d in range(n)])
-        raw = placed.join(broadcast_if_small(given), self.key, "left").select(self.key, F.when(F.col("given").isNotNull(), labelled).otherwise(mixed).alias("p"))
-        whole = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-        return raw.select(self.key, F.when(whole > 0, F.transform("p", lambda x: x / whole)).alias("prior"))
-
-    def _sums(self, source: DataFrame, weigh) -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
+    def _sums(self, weigher) -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
         """Word counts by subject, documents by subject, set phrases, from one pass.
 
-        ``weigh(batch, encoded)`` gives the weight of each document and of each sentence by subject.
+        ``weigher()`` gives a function of a batch to the weights of its documents by subject, and the subject
+        of each sentence whose words alone should count (None: words count with their document).
         """
         n = len(self.domains)
 
-        layout = self.layout
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weigh = weigher()
+            counts, totals = np.zeros((BUCKETS, n)), np.zeros(n)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts, totals = np.zeros((BUCKETS, n), np.float64), np.zeros(n)
-            for batch, e in layout.encoded(batches):
-                docs, by_sentence = weigh(batch, e)
+            def out(kind: int, b: np.ndarray, s: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind), pa.int32()), pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(v, pa.float64())], ["kind", "b", "s", "v"])
+
+            for batch in batches:
+                e = Encoded.read(batch)
+                docs, subject = weigh(e)
                 totals += docs.sum(axis=0)
-                pairs = np.unique((e.owner[e.of] if by_sentence is None else e.of) * BUCKETS + e.words)
-                value = docs[pairs // BUCKETS] if by_sentence is None else by_sentence[pairs // BUCKETS]
-                some = value.sum(axis=1) > 0
-                np.add.at(counts, (pairs % BUCKETS)[some], value[some])
-                both = pd.DataFrame({"h": e.prints, "o": e.owner}).drop_duplicates()
-                own = docs[both["o"]]
-                best = np.where(own.sum(axis=1) > 0, own.argmax(axis=1), -1)
-                phrases = pd.DataFrame({"h": both["h"], "s": best}).groupby(["h", "s"]).size().reset_index(name="v")
-                yield pd.DataFrame({"kind": 1, "b": phrases["h"], "s": phrases["s"], "v": phrases["v"].astype(float)})
+                if subject is None:
+                    pairs = np.unique(e.owner[e.of] * BUCKETS + e.words)
+                    weights, words = docs[pairs // BUCKETS], pairs % BUCKETS
+                    for d in range(n):
+                        own = weights[:, d] > 0
+                        counts[:, d] += np.bincount(words[own], weights[own, d], minlength=BUCKETS)
+                else:
+                    own = subject[e.of] >= 0
+                    counts += e.sums(e.words[own], subject[e.of[own]], n, None, BUCKETS)
+                best = np.where(docs.sum(axis=1) > 0, docs.argmax(axis=1), -1)
+                both = np.unique(np.rec.fromarrays([e.prints, e.owner], names="h,o")) if len(e.prints) else None
+                if both is not None:
+                    phrase, count = np.unique(np.rec.fromarrays([both.h, best[both.o]], names="h,s"), return_counts=True)
+                    yield out(1, phrase.h, phrase.s, count)
             b, s = np.nonzero(counts)
-            yield pd.DataFrame({"kind": 0, "b": b, "s": s, "v": counts[b, s]})
-            yield pd.DataFrame({"kind": 2, "b": 0, "s": np.arange(n), "v": totals})
+            yield out(0, b, s, counts[b, s])
+            yield out(2, np.zeros(n), np.arange(n), totals)
 
-        sums = checkpoint(source.mapInPandas(run, "kind int, b bigint, s int, v double").groupBy("kind", "b", "s").agg(F.sum("v").alias("v")))
+        sums = checkpoint(self.arrays.mapInArrow(run, "kind int, b bigint, s int, v double").groupBy("kind", "b", "s").agg(F.sum("v").alias("v")))
         words = sums.where("kind = 0").toPandas()  # at most BUCKETS by subjects
         counts, totals = np.zeros((BUCKETS, n)), np.zeros(n)
         counts[words["b"], words["s"]] = words["v"]
@@ -305,62 +364,75 @@ class SubjectModel:
         flat = used.where((top < SET_FLAT) | (F.col("known") < 0.25 * F.col("n"))).select("b").toPandas()
         return counts, totals, frozenset(int(x) for x in flat["b"])
 
-    def first_classifier(self, priors: DataFrame) -> Classifier:
-        """Discriminative terms of the leaves' subjects over whole documents."""
-        n = len(self.domains)
-        source = self.documents.join(priors, self.key)
+    def first_classifier(self, mixes: np.ndarray) -> Classifier:
+        """Discriminative terms of the leaves' subjects over whole documents, labels where they are given."""
+        idf, centres, n = self.idf, self.centres, len(self.domains)
 
-        def weigh(batch: pd.DataFrame, e: Encoded) -> tuple[np.ndarray, None]:
-            return np.array([np.zeros(n) if p is None else p for p in batch["prior"]]).reshape(len(batch), n), None
+        def weigher():
+            signs = _directions()
 
-        return Classifier(*self._sums(source, weigh))
+            def weigh(e: Encoded) -> tuple[np.ndarray, None]:
+                own = vectors_of(e, idf, signs)
+                prior = mixes[(own @ centres.T).argmax(axis=1)]
+                hits = e.matrix("hits", n)
+                held = hits.sum(axis=1) > 0
+                prior = np.where(held[:, None], (prior + 0.01) * (hits + 0.1), prior)
+                prior = prior / prior.sum(axis=1, keepdims=True)
+                prior[np.abs(own).sum(axis=1) == 0] = 0
+                for i, given in enumerate(e.column("given").to_pylist()):
+                    if given:
+                        real = [d for d in given if d >= 0]
+                        prior[i] = 0
+                        prior[i, real] = 1 / max(len(real), 1)
+                return prior, None
+
+            return weigh
+
+        return Classifier(*self._sums(weigher))
 
     def refined(self, classifier: Classifier) -> Classifier:
         """Terms counted in the sentences about each subject, so that passing remarks lend nothing."""
 
-        def weigh(batch: pd.DataFrame, e: Encoded) -> tuple[np.ndarray, np.ndarray]:
-            found = classifier.sentence_subjects(e)
-            mix = classifier.mixtures(e, found).astype(float)
-            whole = mix.sum(axis=1, keepdims=True)
-            docs = np.where(whole >= 2, mix / np.maximum(whole, 1), 0)
-            about = np.zeros((len(found), classifier.n))
-            clear = np.flatnonzero(found >= 0)
-            about[clear, found[clear]] = 1
-            return docs, about
+        def weigher():
+            def weigh(e: Encoded) -> tuple[np.ndarray, np.ndarray]:
+                found = classifier.sentence_subjects(e)
+                mix = classifier.mixtures(e, found).astype(float)
+                whole = mix.sum(axis=1, keepdims=True)
+                return np.where(whole >= 2, mix / np.maximum(whole, 1), 0), found
 
-        return Classifier(*self._sums(self.documents, weigh))
+            return weigh
+
+        return Classifier(*self._sums(weigher))
 
     def assign(self, classifier: Classifier) -> DataFrame:
         """``key``, ``subject`` (number), ``share`` (null when a title names it), ``by``."""
+        key, titles = self.key, len(self.titles)
 
-        layout = self.layout
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for _, e in layout.encoded(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                e = Encoded.read(batch)
                 found = classifier.sentence_subjects(e)
                 mix = classifier.mixtures(e, found)
-                lengths = np.bincount(e.owner[e.title == 0], minlength=len(e.keys))
+                lengths = np.bincount(e.owner[e.title == 0], minlength=e.documents)
                 dealt = dealt_with(mix, lengths)
                 rows, cols = np.nonzero(dealt)
                 share = mix[rows, cols] / mix.sum(axis=1)[rows]
-                named = np.full(len(e.keys), -1)
-                for kind in range(len(layout.titles), 0, -1):
+                named = np.full(e.documents, -1)
+                for kind in range(titles, 0, -1):
                     own = np.flatnonzero((e.title == kind) & (found >= 0))
                     named[e.owner[own]] = found[own]
                 bare = np.flatnonzero(~dealt.any(axis=1) & (named >= 0))
-                yield pd.DataFrame(
-                    {
-                        layout.key: np.concatenate((e.keys[rows], e.keys[bare])), "subject": np.concatenate((cols, named[bare])),
-                        "share": np.concatenate((share, np.full(len(bare), np.nan))), "by": ["content"] * len(rows) + ["title"] * len(bare),
-                    }
-                )
+                every = np.concatenate((rows, bare))
+                shares = pa.array(np.concatenate((share, np.zeros(len(bare)))), mask=np.arange(len(every)) >= len(rows))
+                subject = pa.array(np.concatenate((cols, named[bare])), pa.int32())
+                yield pa.RecordBatch.from_arrays([e.column(key).take(pa.array(every, pa.int64())), subject, shares, pa.array(["content"] * len(rows) + ["title"] * len(bare), pa.string())], [key, "subject", "share", "by"])
 
-        return self.documents.mapInPandas(run, f"`{self.key}` {self.kind}, subject int, share double, by string")
+        return self.arrays.mapInArrow(run, f"`{key}` {self.kind}, subject int, share double, by string")
 
     def run(self) -> DataFrame:
-        df, self.live = self.document_frequencies()
-        placed = self.leaves(self.vectors(df, self.live))
-        first = self.first_classifier(self.priors(placed, self.leaf_mixtures(placed)))
+        self.encode(*self.document_frequencies())
+        self.grow_tree()
+        first = self.first_classifier(self.leaf_mixtures())
         return self.assign(self.refined(first))
 
 
@@ -401,4 +473,4 @@ def subjects(speeches: DataFrame, domains: DataFrame, topic_labels: DataFrame) -
     labels = topic_labels.where("sid is not null").select("sid", F.coalesce(numbered, F.lit(-1)).alias("subject")).distinct()
     found = SubjectModel(own, "sid", "content", ["dossier_title", "debate_title"], names, words, labels).run()
     named = F.element_at(F.array(*[F.lit(d) for d in names]), F.col("subject") + 1)
-    return found.select("sid", named.alias("domain_id"), F.when(~F.isnan("share"), F.col("share")).alias("share"), "by").dropDuplicates(["sid", "domain_id"])
+    return found.select("sid", named.alias("domain_id"), "share", "by").dropDuplicates(["sid", "domain_id"])
