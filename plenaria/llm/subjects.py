@@ -21,7 +21,9 @@ from plenaria.session import broadcast_if_small, checkpoint
 #: Words are hashed into so many buckets: what comes to the driver has this bound at any size of the corpus.
 BUCKETS = 1 << 18
 #: Dimensions of the projected document vectors, and leaves of the cluster tree.
-DIMENSIONS, LEAVES = 96, 32
+DIMENSIONS, LEAVES = 64, 32
+#: Words in more than this share of documents tell no subject.
+COMMON_SHARE = 0.15
 #: A sentence or title is a set phrase if at least this share of documents holds it (and at least five do) ...
 SET_SHARE = 2e-4
 #: ... and no subject has this share of its uses.
@@ -37,22 +39,16 @@ SHORT = 3
 #: Subjects of a document.
 MOST = 2
 
+_ARRAYS = ("words", "lengths", "prints", "kinds")
 _WORD = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
-_SPACED = re.compile(r"\s+([.!?…,;:»])")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s")
-
-
-def plain(text: str) -> str:
-    """Lower case, straight apostrophes, numbers as 0, single spaces, none before punctuation."""
-    return _SPACED.sub(r"\1", _DIGITS.sub("0", " ".join(text.replace("’", "'").lower().split())))
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
 
 
 def sentences(paragraphs) -> list[str]:
-    """Sentences of all paragraphs, in plain form."""
+    """Sentences of all paragraphs in lower case; a paragraph's end ends one."""
     if paragraphs is None:
         return []
-    return [s for p in paragraphs if p for s in _SENTENCE.split(plain(p)) if s]
+    return _SENTENCE.split("\n".join(p for p in paragraphs if p).lower())
 
 
 @dataclass
@@ -90,24 +86,30 @@ class Encoded:
         return np.bincount(rows * width + columns, weights, minlength=height * width).reshape(height, width)
 
 
-def encoder(key: str, content: str, titles: list[str], keep: np.ndarray, keywords: list[tuple[int, str]], subjects: int):
-    """A partition function from texts to the arrays of :class:`Encoded`; only words in ``keep`` stay."""
+def encoder(key: str, content: str, titles: list[str], idf: np.ndarray, keywords: list[tuple[int, str]], subjects: int):
+    """A partition function from texts to the arrays of :class:`Encoded` and their vectors.
+
+    Only words with a weight in ``idf`` stay; a sentence's fingerprint is that of all its words.
+    """
+    names = ["words", "lengths", "prints", "kinds", "hits"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         finder = ahocorasick.Automaton()
         for d, k in keywords:
-            finder.add_word(k, (d, k))
+            finder.add_word(k, d)
         if keywords:
             finder.make_automaton()
         seen: dict[str, int] = {}
+        signs = _directions()
+        find, hash_of = _WORD.findall, xxhash.xxh64_intdigest
 
         def bucket(w: str) -> int:
             b = zlib.crc32(w.encode()) % BUCKETS
             if len(seen) > 1_000_000:
                 seen.clear()
-            b = seen[w] = b if keep[b] else -1
+            b = seen[w] = b if idf[b] > 0 else -1
             return b
 
         for batch in batches:
@@ -115,28 +117,33 @@ def encoder(key: str, content: str, titles: list[str], keep: np.ndarray, keyword
             rows = []
             for i, paragraphs in enumerate(batch[content]):
                 words, lengths, prints, kinds, hits = [], [], [], [], [0] * subjects
+                text = []
                 parts = [(0, x) for x in sentences(paragraphs)]
                 for kind, c in enumerate(columns, 1):
-                    if isinstance(c[i], str) and c[i].strip():
-                        parts.append((kind, plain(c[i])))
-                text = []
+                    if isinstance(c[i], str):
+                        parts.append((kind, c[i].lower()))
                 for kind, sentence in parts:
-                    found = _WORD.findall(sentence)
+                    found = find(sentence)
+                    if not found:
+                        continue
                     own = {seen[w] if w in seen else bucket(w) for w in found}
                     own.discard(-1)
                     words.extend(own)
                     lengths.append(len(own))
-                    prints.append(xxhash.xxh64_intdigest(sentence) - (1 << 63))
+                    joined = " ".join(found)
+                    prints.append(hash_of(joined) - (1 << 63))
                     kinds.append(kind)
                     if kind == 0:
-                        text.append(" ".join(found))
+                        text.append(joined)
                 if keywords and text:
-                    for _, (d, _) in finder.iter(" " + "  ".join(text) + " "):
+                    for _, d in finder.iter(" " + "  ".join(text) + " "):
                         hits[d] += 1
                 rows.append((words, lengths, prints, kinds, hits))
-            out = pd.DataFrame(rows, columns=["words", "lengths", "prints", "kinds", "hits"])
+            out = pd.DataFrame(rows, columns=names)
+            arrays = [pa.array(out[c], pa.list_(pa.int64() if c == "prints" else pa.int32())) for c in names]
+            vectors = vectors_of(Encoded.read(pa.RecordBatch.from_arrays(arrays, names)), idf, signs)
             out.insert(0, key, batch[key].to_numpy())
-            yield out.assign(given=batch["given"].to_numpy())
+            yield out.assign(given=batch["given"].to_numpy(), vector=list(vectors))
 
     return run
 
@@ -174,7 +181,7 @@ class Classifier:
         best, n = share.max(axis=1), counts.shape[1]
         self.subject = share.argmax(axis=1).astype(np.int16)
         strong = (used >= 2) & (best >= WORD_SHARE)
-        self.weight = np.where(strong, np.log(best * (n - 1) / (1 - best + 1e-3)), 0).astype(np.float32)
+        self.weight = np.where(strong, np.log(np.maximum(best, 1e-9) * max(n - 1, 1) / (1 - best + 1e-3)), 0).astype(np.float32)
         self.n = n
         self.set_phrases = np.array(sorted(set_phrases), np.int64)
 
@@ -257,26 +264,17 @@ class SubjectModel:
 
     def encode(self, df: np.ndarray, live: int) -> None:
         """Write the documents' arrays, without words that are too rare or too common to tell subjects."""
-        keep = (df >= 2) & (df <= max(2, 0.15 * live))
-        self.idf = np.where(keep, np.log((1 + live) / (1 + np.maximum(df, 1))), 0).astype(np.float32)
+        keep = (df >= 2) & (df <= max(2, COMMON_SHARE * live))
+        idf = np.where(keep, np.log((1 + live) / (1 + np.maximum(df, 1))), 0).astype(np.float32)
         self.live = live
-        run = encoder(self.key, self.content, self.titles, keep, self.keywords, len(self.domains))
-        schema = f"`{self.key}` {self.kind}, words array<int>, lengths array<int>, prints array<bigint>, kinds array<int>, hits array<int>, given array<int>"
+        run = encoder(self.key, self.content, self.titles, idf, self.keywords, len(self.domains))
+        schema = f"`{self.key}` {self.kind}, words array<int>, lengths array<int>, prints array<bigint>, kinds array<int>, hits array<int>, given array<int>, vector array<float>"
         self.arrays = checkpoint(self.documents.mapInPandas(run, schema))
 
     def grow_tree(self) -> None:
         """Bisecting k-means over the vectors of all documents with words; keeps the leaves' centres."""
-        idf = self.idf
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            signs = _directions()
-            for batch in batches:
-                own = vectors_of(Encoded.read(batch), idf, signs)
-                own = own[np.abs(own).sum(axis=1) > 0]
-                values = pa.ListArray.from_arrays(np.arange(0, own.size + 1, DIMENSIONS, dtype=np.int32), pa.array(own.ravel(), pa.float32()))
-                yield pa.RecordBatch.from_arrays([values], ["vector"])
-
-        rows = self.arrays.mapInArrow(run, "vector array<float>").select(array_to_vector("vector").alias("features"))
+        used = F.exists("vector", lambda x: x != 0)
+        rows = self.arrays.where(used).select(array_to_vector("vector").alias("features"))
         if rows.limit(2).count() < 2:
             self.centres = np.ones((1, DIMENSIONS), np.float32)
             return
@@ -286,14 +284,14 @@ class SubjectModel:
 
     def leaf_mixtures(self) -> np.ndarray:
         """Subjects of each leaf: by the keywords among its terms and the labels among its documents."""
-        idf, centres, n = self.idf, self.centres, len(self.domains)
+        centres, n = self.centres, len(self.domains)
         size = len(centres)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            signs, total = _directions(), np.zeros((2, size, n))
+            total = np.zeros((2, size, n))
             for batch in batches:
                 e = Encoded.read(batch)
-                own = vectors_of(e, idf, signs)
+                own = e.matrix("vector", DIMENSIONS)
                 leaf, live = (own @ centres.T).argmax(axis=1), np.abs(own).sum(axis=1) > 0
                 held = (e.matrix("hits", n) > 0) & live[:, None]
                 np.add.at(total[0], leaf, held)
@@ -304,7 +302,7 @@ class SubjectModel:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["b", "v"])
 
-        found = self.arrays.mapInArrow(run, "b bigint, v double").groupBy("b").agg(F.sum("v").alias("v")).toPandas()
+        found = self.arrays.select(*_ARRAYS, "hits", "given", "vector").mapInArrow(run, "b bigint, v double").groupBy("b").agg(F.sum("v").alias("v")).toPandas()
         total = np.zeros(2 * size * n)
         total[found["b"]] = found["v"]
         words, given = total.reshape(2, size, n)
@@ -313,7 +311,7 @@ class SubjectModel:
         whole = mix.sum(axis=1, keepdims=True)
         return np.where(whole > 0, mix / np.maximum(whole, 1e-9), 1 / n)
 
-    def _sums(self, weigher) -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
+    def _sums(self, weigher, *columns: str) -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
         """Word counts by subject, documents by subject, set phrases, from one pass.
 
         ``weigher()`` gives a function of a batch to the weights of its documents by subject, and the subject
@@ -342,15 +340,15 @@ class SubjectModel:
                     own = subject[e.of] >= 0
                     counts += e.sums(e.words[own], subject[e.of[own]], n, None, BUCKETS)
                 best = np.where(docs.sum(axis=1) > 0, docs.argmax(axis=1), -1)
-                both = np.unique(np.rec.fromarrays([e.prints, e.owner], names="h,o")) if len(e.prints) else None
-                if both is not None:
-                    phrase, count = np.unique(np.rec.fromarrays([both.h, best[both.o]], names="h,s"), return_counts=True)
-                    yield out(1, phrase.h, phrase.s, count)
+                phrase, place = np.unique(e.prints, return_inverse=True)
+                both = np.unique(place * e.documents + e.owner)
+                held, count = np.unique(both // e.documents * (n + 1) + best[both % e.documents] + 1, return_counts=True)
+                yield out(1, phrase[held // (n + 1)], held % (n + 1) - 1, count)
             b, s = np.nonzero(counts)
             yield out(0, b, s, counts[b, s])
             yield out(2, np.zeros(n), np.arange(n), totals)
 
-        sums = checkpoint(self.arrays.mapInArrow(run, "kind int, b bigint, s int, v double").groupBy("kind", "b", "s").agg(F.sum("v").alias("v")))
+        sums = checkpoint(self.arrays.select(*_ARRAYS, *columns).mapInArrow(run, "kind int, b bigint, s int, v double").groupBy("kind", "b", "s").agg(F.sum("v").alias("v")))
         words = sums.where("kind = 0").toPandas()  # at most BUCKETS by subjects
         counts, totals = np.zeros((BUCKETS, n)), np.zeros(n)
         counts[words["b"], words["s"]] = words["v"]
@@ -366,13 +364,11 @@ class SubjectModel:
 
     def first_classifier(self, mixes: np.ndarray) -> Classifier:
         """Discriminative terms of the leaves' subjects over whole documents, labels where they are given."""
-        idf, centres, n = self.idf, self.centres, len(self.domains)
+        centres, n = self.centres, len(self.domains)
 
         def weigher():
-            signs = _directions()
-
             def weigh(e: Encoded) -> tuple[np.ndarray, None]:
-                own = vectors_of(e, idf, signs)
+                own = e.matrix("vector", DIMENSIONS)
                 prior = mixes[(own @ centres.T).argmax(axis=1)]
                 hits = e.matrix("hits", n)
                 held = hits.sum(axis=1) > 0
@@ -388,7 +384,7 @@ class SubjectModel:
 
             return weigh
 
-        return Classifier(*self._sums(weigher))
+        return Classifier(*self._sums(weigher, "hits", "given", "vector"))
 
     def refined(self, classifier: Classifier) -> Classifier:
         """Terms counted in the sentences about each subject, so that passing remarks lend nothing."""
@@ -427,7 +423,7 @@ class SubjectModel:
                 subject = pa.array(np.concatenate((cols, named[bare])), pa.int32())
                 yield pa.RecordBatch.from_arrays([e.column(key).take(pa.array(every, pa.int64())), subject, shares, pa.array(["content"] * len(rows) + ["title"] * len(bare), pa.string())], [key, "subject", "share", "by"])
 
-        return self.arrays.mapInArrow(run, f"`{key}` {self.kind}, subject int, share double, by string")
+        return self.arrays.select(key, *_ARRAYS).mapInArrow(run, f"`{key}` {self.kind}, subject int, share double, by string")
 
     def run(self) -> DataFrame:
         self.encode(*self.document_frequencies())
@@ -464,7 +460,7 @@ def subjects(speeches: DataFrame, domains: DataFrame, topic_labels: DataFrame) -
     listed = domains.where("domain_id is not null").orderBy("domain_id").dropDuplicates(["domain_id"]).collect()
     names = sorted(r["domain_id"] for r in listed)
     place = {d: i for i, d in enumerate(names)}
-    words = [(place[r["domain_id"]], " " + " ".join(_WORD.findall(plain(k))) + " ") for r in listed for k in (r["keywords"] or []) if k and _WORD.search(k)]
+    words = [(place[r["domain_id"]], " " + " ".join(_WORD.findall(k.lower())) + " ") for r in listed for k in (r["keywords"] or []) if k and _WORD.search(k)]
     spark = speeches.sparkSession
     if not names:
         return spark.createDataFrame([], "sid bigint, domain_id string, share double, by string")
