@@ -131,7 +131,7 @@ def encoder(key: str, content: str, titles: list[str], idf: np.ndarray, keywords
                     words.extend(own)
                     lengths.append(len(own))
                     joined = " ".join(found)
-                    prints.append(hash_of(joined) - (1 << 63))
+                    prints.append(hash_of(joined if kind == 0 else f"{joined}\n") - (1 << 63))
                     kinds.append(kind)
                     if kind == 0:
                         text.append(joined)
@@ -340,10 +340,11 @@ class SubjectModel:
                     own = subject[e.of] >= 0
                     counts += e.sums(e.words[own], subject[e.of[own]], n, None, BUCKETS)
                 best = np.where(docs.sum(axis=1) > 0, docs.argmax(axis=1), -1)
-                phrase, place = np.unique(e.prints, return_inverse=True)
-                both = np.unique(place * e.documents + e.owner)
-                held, count = np.unique(both // e.documents * (n + 1) + best[both % e.documents] + 1, return_counts=True)
-                yield out(1, phrase[held // (n + 1)], held % (n + 1) - 1, count)
+                for kind, own in ((1, e.title == 0), (3, e.title > 0)):
+                    phrase, place = np.unique(e.prints[own], return_inverse=True)
+                    both = np.unique(place * e.documents + e.owner[own])
+                    held, count = np.unique(both // e.documents * (n + 1) + best[both % e.documents] + 1, return_counts=True)
+                    yield out(kind, phrase[held // (n + 1)], held % (n + 1) - 1, count)
             b, s = np.nonzero(counts)
             yield out(0, b, s, counts[b, s])
             yield out(2, np.zeros(n), np.arange(n), totals)
@@ -356,10 +357,12 @@ class SubjectModel:
         totals[whole["s"]] = whole["v"]
         least = max(5.0, SET_SHARE * self.live)
         rates = F.array(*[F.sum(F.when(F.col("s") == d, F.col("v") / float(max(totals[d], 1e-9))).otherwise(0.0)) for d in range(n)])
-        used = sums.where("kind = 1").groupBy("b").agg(F.sum("v").alias("n"), F.sum(F.when(F.col("s") >= 0, F.col("v")).otherwise(0)).alias("known"), rates.alias("r")).where(F.col("n") >= least)
+        known = F.sum(F.when(F.col("s") >= 0, F.col("v")).otherwise(0)).alias("known")
+        used = sums.where("kind in (1, 3)").groupBy("kind", "b").agg(F.sum("v").alias("n"), known, rates.alias("r")).where(F.col("n") >= least)
         top = F.array_max("r") / F.greatest(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), F.lit(1e-12))
+        formula = (F.col("kind") == 1) & (F.col("known") < 0.25 * F.col("n"))  # said mostly where nothing else is; a title's use there says nothing
         # at most (sentences of a document) / SET_SHARE phrases
-        flat = used.where((top < SET_FLAT) | (F.col("known") < 0.25 * F.col("n"))).select("b").toPandas()
+        flat = used.where(formula | (F.col("known") >= least) & (top < SET_FLAT)).select("b").toPandas()
         return counts, totals, frozenset(int(x) for x in flat["b"])
 
     def first_classifier(self, mixes: np.ndarray) -> Classifier:
