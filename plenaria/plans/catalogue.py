@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.plans import activity, ballots, chamber, history, phrases
+from plenaria.plans import activity, ballots, chamber, history, phrases, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES: tuple = (history, phrases, ballots, chamber, activity)
+MODULES: tuple = (history, phrases, ballots, chamber, activity, views)
 
 FLAGSHIP = "x2_distinctive_phrases"
 

@@ -200,3 +200,25 @@ def test_sequential_readings():
     names = speech.NameBook([(1, "Mme", "Ana", "Brunet"), (2, "M.", "Luc", "Brunet"), (3, "M.", "Guy", "Noir"), (4, "M.", "Paul", "Noir")])
     assert set(names.mentions("Mme Brunet et M. Brunet, comme Guy Noir, mais pas M. Noir.", 2)) == {1, 3}
     assert len(speech.aligned("Éà-ç")) == 4
+
+
+def test_mentions_join(spark):
+    people = spark.createDataFrame([(1, "Mme", "Ana", "Brunet"), (2, "M.", "Luc", "Brunet"), (3, "M.", "Guy", "Le Noir"), (4, "M.", "Paul", "Noir"), (5, "M.", "Jean", "Noir")], "pid bigint, civility string, first string, last string")
+    texts = spark.createDataFrame([(7, 2, "Mme Brunet et M. Brunet, comme Guy Le Noir, mais pas M. Noir. Puis Mme Brunet."), (8, None, None)], "sid bigint, pid bigint, t string")
+    found = {(r["sid"], r["target"]): r["at"] for r in speech.with_mentions(texts, "sid", "t", "pid", people).collect()}
+    assert found == {(7, 1): 0, (7, 3): 31}
+
+
+def test_topics(spark):
+    from plenaria.operators import topics
+
+    docs = [(i, (["mer", "phare", "port"] if i % 2 else ["bois", "scie", "clou"]) * 2 + [f"m{i % 7}"]) for i in range(60)] + [(99, [])]
+    df = spark.createDataFrame(docs, "i bigint, tokens array<string>")
+    rows = topics.tfidf_rows(df, "i", "tokens", 3, 0.6)
+    lengths = rows.groupBy("i").agg(F.sum(F.col("weight") * F.col("weight")).alias("l")).collect()
+    assert len(lengths) == 60 and all(abs(r["l"] - 1) < 1e-9 for r in lengths)
+    weights, terms = topics.nmf(rows, "i", 2, 50, 6)
+    assert {frozenset(t for t, _ in own[:3]) for own in terms} == {frozenset(("mer", "phare", "port")), frozenset(("bois", "scie", "clou"))}
+    best = {r["i"]: r["t"] for r in weights.groupBy("i").agg(F.max(F.struct("weight", "topic"))["topic"].alias("t")).collect()}
+    assert len({best[i] for i in range(0, 60, 2)}) == 1 and best[0] != best[1]
+    assert topics.nmf(rows.limit(0), "i")[1] == []
