@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,14 +87,33 @@ class Encoded:
         return np.bincount(rows * width + columns, weights, minlength=height * width).reshape(height, width)
 
 
+class _Buckets(dict):
+    """Buckets of words, -1 for words without weight; a dictionary fills itself as words are met."""
+
+    def __init__(self, idf: np.ndarray) -> None:
+        super().__init__()
+        self.idf = idf
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        b = zlib.crc32(word.encode()) % BUCKETS
+        self[word] = b = b if self.idf[b] > 0 else -1
+        return b
+
+
 def encoder(key: str, content: str, titles: list[str], idf: np.ndarray, keywords: list[tuple[int, str]], subjects: int):
     """A partition function from texts to the arrays of :class:`Encoded` and their vectors.
 
     Only words with a weight in ``idf`` stay; a sentence's fingerprint is that of all its words.
     """
-    names = ["words", "lengths", "prints", "kinds", "hits"]
+    kinds_of = {"words": pa.int32(), "lengths": pa.int32(), "prints": pa.int64(), "kinds": pa.int32()}
+
+    def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         finder = ahocorasick.Automaton()
@@ -101,32 +121,26 @@ def encoder(key: str, content: str, titles: list[str], idf: np.ndarray, keywords
             finder.add_word(k, d)
         if keywords:
             finder.make_automaton()
-        seen: dict[str, int] = {}
-        signs = _directions()
+        bucket_of, signs = _Buckets(idf).__getitem__, _directions()
         find, hash_of = _WORD.findall, xxhash.xxh64_intdigest
 
-        def bucket(w: str) -> int:
-            b = zlib.crc32(w.encode()) % BUCKETS
-            if len(seen) > 1_000_000:
-                seen.clear()
-            b = seen[w] = b if idf[b] > 0 else -1
-            return b
-
         for batch in batches:
-            columns = [batch[c].tolist() for c in titles]
-            rows = []
-            for i, paragraphs in enumerate(batch[content]):
-                words, lengths, prints, kinds, hits = [], [], [], [], [0] * subjects
-                text = []
+            def column(name: str, batch=batch) -> list:
+                return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+            columns = [column(c) for c in titles]
+            words, lengths, prints, kinds, held, spoken = [], [], [], [], [], []
+            hits = np.zeros((batch.num_rows, subjects), np.int32)
+            for i, paragraphs in enumerate(column(content)):
+                before, text, words_before = len(kinds), [], len(words)
                 parts = [(0, x) for x in sentences(paragraphs)]
                 for kind, c in enumerate(columns, 1):
-                    if isinstance(c[i], str):
+                    if c[i]:
                         parts.append((kind, c[i].lower()))
                 for kind, sentence in parts:
-                    found = find(sentence)
-                    if not found:
+                    if not (found := find(sentence)):
                         continue
-                    own = {seen[w] if w in seen else bucket(w) for w in found}
+                    own = set(map(bucket_of, found))
                     own.discard(-1)
                     words.extend(own)
                     lengths.append(len(own))
@@ -137,13 +151,16 @@ def encoder(key: str, content: str, titles: list[str], idf: np.ndarray, keywords
                         text.append(joined)
                 if keywords and text:
                     for _, d in finder.iter(" " + "  ".join(text) + " "):
-                        hits[d] += 1
-                rows.append((words, lengths, prints, kinds, hits))
-            out = pd.DataFrame(rows, columns=names)
-            arrays = [pa.array(out[c], pa.list_(pa.int64() if c == "prints" else pa.int32())) for c in names]
-            vectors = vectors_of(Encoded.read(pa.RecordBatch.from_arrays(arrays, names)), idf, signs)
-            out.insert(0, key, batch[key].to_numpy())
-            yield out.assign(given=batch["given"].to_numpy(), vector=list(vectors))
+                        hits[i, d] += 1
+                held.append(len(kinds) - before)
+                spoken.append(len(words) - words_before)
+            flat = {"words": words, "lengths": lengths, "prints": prints, "kinds": kinds}
+            arrays = {c: lists(np.array(v, np.int64), np.array(spoken if c == "words" else held, np.int64), kinds_of[c]) for c, v in flat.items()}
+            vectors = vectors_of(Encoded.read(pa.RecordBatch.from_pydict(arrays)), idf, signs)
+            arrays["hits"] = lists(hits.ravel(), np.full(len(hits), subjects), pa.int32())
+            arrays["given"] = batch.column(batch.schema.get_field_index("given"))
+            arrays["vector"] = lists(vectors.ravel(), np.full(len(hits), DIMENSIONS), pa.float32())
+            yield pa.RecordBatch.from_pydict({key: batch.column(batch.schema.get_field_index(key)), **arrays})
 
     return run
 
@@ -233,28 +250,26 @@ class SubjectModel:
         """Documents of every bucket, and documents with words."""
         content = self.content
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n, seen = np.zeros(BUCKETS, np.int64), 0, {}
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, held, find = np.zeros(BUCKETS, np.int64), 0, Counter(), _WORD.findall
+
+            def empty() -> None:
+                for word, count in held.items():
+                    total[zlib.crc32(word.encode()) % BUCKETS] += count
+                held.clear()
+
             for batch in batches:
-                every: list[int] = []
-                for paragraphs in batch[content]:
-                    if paragraphs is None:
-                        continue
-                    words = set(_WORD.findall(" ".join(p for p in paragraphs if p).lower()))
-                    n += bool(words)
-                    for w in words:
-                        b = seen.get(w)
-                        if b is None:
-                            if len(seen) > 1_000_000:
-                                seen.clear()
-                            b = seen[w] = zlib.crc32(w.encode()) % BUCKETS
-                        every.append(b)
-                if every:
-                    total += np.bincount(every, minlength=BUCKETS)
+                for paragraphs in batch.column(0).to_pylist():
+                    if paragraphs and (words := set(find(" ".join(p for p in paragraphs if p).lower()))):
+                        n += 1
+                        held.update(words)
+                if len(held) > 500_000:
+                    empty()
+            empty()
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(total[at], n)})
+            yield pa.RecordBatch.from_pydict({"b": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(total[at], n), pa.int64())})
 
-        found = self.documents.select(content).mapInPandas(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+        found = self.documents.select(content).mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
         df, live = np.zeros(BUCKETS, np.int64), 0
         own = found[found["b"] >= 0]
         df[own["b"]] = own["n"]
@@ -269,7 +284,7 @@ class SubjectModel:
         self.live = live
         run = encoder(self.key, self.content, self.titles, idf, self.keywords, len(self.domains))
         schema = f"`{self.key}` {self.kind}, words array<int>, lengths array<int>, prints array<bigint>, kinds array<int>, hits array<int>, given array<int>, vector array<float>"
-        self.arrays = checkpoint(self.documents.mapInPandas(run, schema))
+        self.arrays = checkpoint(self.documents.mapInArrow(run, schema))
 
     def grow_tree(self) -> None:
         """Bisecting k-means over the vectors of all documents with words; keeps the leaves' centres."""
