@@ -62,8 +62,8 @@ def tfidf_vs_rest(counts: DataFrame, owner: str, least: int = 1) -> DataFrame:
 
 
 def rising(now: Column, now_total: Column, before: Column, before_total: Column) -> Column:
-    """How much more a phrase is used than in the window before; half a use is added there."""
-    return (now / now_total) / ((before + 0.5) / before_total)
+    """How much more a phrase is used than in the window before; half a use is added there. Null where a window is empty."""
+    return F.try_divide(F.try_divide(now, now_total), F.try_divide(before + 0.5, before_total))
 
 
 def lift(share: Column, overall: Column) -> Column:

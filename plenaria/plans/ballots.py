@@ -77,8 +77,11 @@ rated AS (SELECT p.*, majority, CASE WHEN majority <> '' THEN (position = majori
 
 _ALL = {
     "a16_majority": (a16_majority, _TALLY + "SELECT * FROM tally"),
-    "a18_cohesion": (a18_cohesion, _TALLY + """, c AS (SELECT party, count(agrees) AS cast, round(avg(agrees), 9) AS cohesion FROM rated GROUP BY party)
-        SELECT *, CASE WHEN cohesion < 0.995 AND cohesion >= 0.005 THEN floor(cohesion * 100 + 0.5)::INT::VARCHAR || ' %' ELSE NULL END AS text FROM c"""),
+    "a18_cohesion": (a18_cohesion, _TALLY + """, c AS (SELECT party, count(agrees) AS cast, round(avg(agrees), 9) AS cohesion FROM rated GROUP BY party),
+        p AS (SELECT *, cohesion * 100 AS p, floor(cohesion * 100 + 0.5) AS a, floor(cohesion * 1000 + 0.5) / 10 AS b, floor(cohesion * 10000 + 0.5) / 100 AS c FROM c)
+        SELECT party, p."cast", cohesion, CASE WHEN cohesion IS NULL THEN '0 %' WHEN NOT (p < 100 AND a >= 100 OR p > 0 AND a <= 0) THEN (a::INT)::VARCHAR || ' %'
+        WHEN NOT (p < 100 AND b >= 100 OR p > 0 AND b <= 0) THEN replace(regexp_replace(printf('%.1f', b), '\\.0$', ''), '.', ',') || ' %'
+        WHEN NOT (p < 100 AND c >= 100 OR p > 0 AND c <= 0) THEN replace(regexp_replace(printf('%.2f', c), '\\.?0+$', ''), '.', ',') || ' %' WHEN c >= 100 THEN '99,99 %' ELSE '0,01 %' END AS text FROM p"""),
     "a19_deviations": (a19_deviations, _TALLY + "SELECT person, count(*) AS cast, count(agrees) AS comparable, coalesce(sum(agrees), 0)::BIGINT AS with_group FROM rated GROUP BY person"),
     "v8_deviation_list": (v8_deviation_list, _TALLY + """, r AS (SELECT party, ballot, person, position, majority, row_number() OVER (PARTITION BY party ORDER BY ballot DESC, person)::INTEGER AS rank_no FROM rated WHERE agrees = 0) SELECT * FROM r WHERE rank_no <= 10"""),
     "j20_missed": (j20_missed, f"""WITH {POSITIONS}, h AS (SELECT DISTINCT ballot, party FROM positions), m AS (SELECT DISTINCT person, party FROM positions)

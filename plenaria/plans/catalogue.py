@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that hold ``QUERIES`` and ``SQL``.
 MODULES: tuple = (history, phrases, ballots, chamber, activity, views)
 
-FLAGSHIP = "x2_distinctive_phrases"
+FLAGSHIP = "x3_smoothed_ratio"
 
 
 def queries() -> dict[str, Query]:
