@@ -159,10 +159,10 @@ def x5_tfidf_rows(spark, sf_dir):
 
 
 def x8_topics(spark, sf_dir):
-    """Main topic of each speech by non-negative matrix factorisation."""
-    rows = topics.tfidf_rows(spoken(spark, sf_dir).select("sid", "tokens"), "sid", "tokens", 5, 0.2)
-    weights, _ = topics.nmf(rows, "sid", 12, 2000, 8)
-    return weights.groupBy("sid").agg(F.max(F.struct("weight", "topic"))["topic"].alias("topic"))
+    """Main topic of each speech by non-negative matrix factorisation; null where none of the terms stands in it."""
+    docs, terms = topics.tfidf_arrays(spoken(spark, sf_dir).select("sid", "tokens"), "sid", "tokens")
+    weights, _ = topics.factorised(docs, "sid", terms, 15, 400)
+    return weights.groupBy("sid").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "topic"))["topic"].alias("topic"))
 
 
 def r14_groups_in_order(spark, sf_dir):
