@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenaria.operators.asof import asof_left_join
+
 #: Days of a time bucket in interval joins.
 BUCKET = 366
 
@@ -30,11 +32,15 @@ def containing(events: DataFrame, spans: DataFrame, on: str, day: str, start: st
 
 
 def next_after(events: DataFrame, later: DataFrame, on: list[str], day: str, later_day: str, take: list[str]) -> DataFrame:
-    """Each event with ``take`` of the first ``later`` row of equal ``on`` on or after its day (ties: smallest values)."""
-    ids = events.columns
-    found = events.join(later.select(*on, later_day, *take), on).where(F.col(later_day) >= F.col(day))
-    first = found.groupBy(*ids).agg(F.min(F.struct(later_day, *take)).alias("_f"))
-    return first.select(*ids, F.col("_f")[later_day].alias(later_day), *[F.col("_f")[c].alias(c) for c in take])
+    """Each event with ``take`` of the first ``later`` row of equal ``on`` on or after its day (ties: smallest values).
+
+    An as-of join on days counted backwards: a pair is made for each event found, not for each later row.
+    """
+    back = lambda c: -F.datediff(c, F.lit("1970-01-01").cast("date"))
+    once = later.where(F.col(later_day).isNotNull()).groupBy(*on, later_day).agg(F.min(F.struct(*take)).alias("_f"))
+    firsts = once.select(*on, back(F.col(later_day)).alias("_next"), later_day, *[F.col("_f")[c].alias(c) for c in take])
+    found = asof_left_join(events.withColumn("_at", back(F.col(day))), firsts, on, "_at", "_next", [later_day, *take])
+    return found.where(F.col(later_day).isNotNull()).drop("_at")
 
 
 def latest(df: DataFrame, key: str, order: list[str], take: list[str]) -> DataFrame:

@@ -160,12 +160,21 @@ def j9_group_on_day(spark, sf_dir):
     return lookups.containing(own, spans, "acteur_id", "day", "start_date", "end_date").groupBy("sid").agg(F.count(F.lit(1)).alias("spans"), F.min("start_date").cast("string").alias("first_start"))
 
 
-def j7_next_aside(spark, sf_dir):
-    """Each labelled speech with the speaker's first reaction on or after its day."""
+def _next_aside(spark, sf_dir, own):
     folk = people(spark, sf_dir).select("pid", "acteur_id")
-    own = said(spark, sf_dir).where("pid is not null").join(table(spark, sf_dir, "topic_labels", "sid").distinct(), "sid", "left_semi").join(broadcast_if_small(folk), "pid").select("sid", "acteur_id", "day")
+    events = own.where("pid is not null").join(broadcast_if_small(folk), "pid").select("sid", "acteur_id", "day")
     later = asides(spark, sf_dir).where("record_type = 'reaction' and acteur_id <> ''").select("acteur_id", F.col("day").alias("reaction_day"), "aside_id")
-    return lookups.next_after(own, later, ["acteur_id"], "day", "reaction_day", ["aside_id"]).select("sid", F.col("day").cast("string").alias("day"), F.col("reaction_day").cast("string").alias("reaction_day"), "aside_id", F.datediff("reaction_day", "day").alias("gap_days"))
+    return lookups.next_after(events, later, ["acteur_id"], "day", "reaction_day", ["aside_id"]).select("sid", F.col("day").cast("string").alias("day"), F.col("reaction_day").cast("string").alias("reaction_day"), "aside_id", F.datediff("reaction_day", "day").alias("gap_days"))
+
+
+def j7_next_aside(spark, sf_dir):
+    """Each labelled speech with the speaker's first reaction on or after its day."""
+    return _next_aside(spark, sf_dir, said(spark, sf_dir).join(table(spark, sf_dir, "topic_labels", "sid").distinct(), "sid", "left_semi"))
+
+
+def j7_next_aside_all(spark, sf_dir):
+    """Every speech with the speaker's first reaction on or after its day."""
+    return _next_aside(spark, sf_dir, said(spark, sf_dir))
 
 
 def j13_title_match(spark, sf_dir):
@@ -317,6 +326,9 @@ _ALL = {
     "j7_next_aside": (j7_next_aside, f"""WITH {SAID}, {ASIDES}, own AS (SELECT sid, p.acteur_id, day FROM said JOIN politicians p ON p.pid = said.pid WHERE sid IN (SELECT sid FROM topic_labels)),
         r AS (SELECT sid, own.day, a.day AS reaction_day, aside_id, row_number() OVER (PARTITION BY sid ORDER BY a.day, aside_id) AS r FROM own JOIN aside a ON a.acteur_id = own.acteur_id AND record_type = 'reaction' AND a.day >= own.day)
         SELECT sid, day::VARCHAR AS day, reaction_day::VARCHAR AS reaction_day, aside_id, date_diff('day', day, reaction_day)::INTEGER AS gap_days FROM r WHERE r = 1"""),
+    "j7_next_aside_all": (j7_next_aside_all, f"""WITH {SAID}, {ASIDES}, own AS (SELECT sid, p.acteur_id, day FROM said JOIN politicians p ON p.pid = said.pid),
+        r AS (SELECT sid, own.day, a.day AS reaction_day, aside_id, row_number() OVER (PARTITION BY sid ORDER BY a.day, aside_id) AS r FROM own JOIN aside a ON a.acteur_id = own.acteur_id AND record_type = 'reaction' AND a.day >= own.day)
+        SELECT sid, day::VARCHAR AS day, reaction_day::VARCHAR AS reaction_day, aside_id, date_diff('day', day, reaction_day)::INTEGER AS gap_days FROM r WHERE r = 1"""),
     "j13_title_match": (j13_title_match, f"""WITH {SAID}, t AS (SELECT DISTINCT debate_title, {fold_sql("debate_title")} AS f FROM said WHERE debate_title <> ''), k AS (SELECT DISTINCT {fold_sql("w")} AS keyword FROM (SELECT unnest(keywords) AS w FROM domains)),
         r AS (SELECT debate_title, keyword, row_number() OVER (PARTITION BY debate_title ORDER BY length(keyword) DESC, keyword) AS r FROM t JOIN k ON contains(' ' || f || ' ', ' ' || keyword || ' ')) SELECT debate_title, keyword FROM r WHERE r = 1"""),
     "j14_guarded": (j14_guarded, f"""WITH {SAID}, t AS (SELECT bill_number, {fold_sql("coalesce(debate_title, '')")} AS a, {fold_sql("coalesce(dossier_title, '')")} AS b FROM said WHERE bill_number <> '')
