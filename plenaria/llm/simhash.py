@@ -101,9 +101,9 @@ def near_duplicates(texts: DataFrame, key: str, text: str) -> DataFrame:
     similarity at most, so the longer text enters its own band of lengths and the one below.
     Each pair that shares a table's key is verified: by Hamming distance, then by the
     Jaccard similarity of the whole texts' shingles. A pair at the least similarity shares
-    a key with a probability of 0.9, one at 0.9 with 0.99.
+    a key with a probability of 0.9, one at 0.9 with 0.99. Texts without words are linked to none.
     """
-    prints = checkpoint(fingerprints(texts, key, text))
+    prints = checkpoint(fingerprints(texts, key, text).where(F.size("shingles") > 0))
     links, leaders = _same_fingerprint(prints, key)
     size = F.greatest(F.size("shingles"), F.lit(1))
     heads = prints.join(leaders.select(key), key, "left_semi").select(key, "simhash", "simhash2", size.alias("_n"), F.floor(F.log(size) / -np.log(SIMILARITY)).cast("int").alias("_band"))
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, key: str) -> DataFrame:
     a = prints.select(F.col(key).alias("a"), F.col("shingles").alias("_a"))
     b = prints.select(F.col(key).alias("b"), F.col("shingles").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
-    similarity = both / (F.size("_a") + F.size("_b") - both)
+    similarity = F.try_divide(both, F.size("_a") + F.size("_b") - both)
     return pairs.join(a, "a").join(b, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
