@@ -23,8 +23,6 @@ from plenaria.session import broadcast_if_small, checkpoint
 BUCKETS = 1 << 18
 #: Dimensions of the projected document vectors, and leaves of the cluster tree.
 DIMENSIONS, LEAVES = 64, 32
-#: Words in more than this share of documents tell no subject.
-COMMON_SHARE = 0.15
 #: A sentence or title is a set phrase if at least this share of documents holds it (and at least five do) ...
 SET_SHARE = 2e-4
 #: ... and no subject has this share of its uses.
@@ -278,8 +276,8 @@ class SubjectModel:
         return df, live
 
     def encode(self, df: np.ndarray, live: int) -> None:
-        """Write the documents' arrays, without words that are too rare or too common to tell subjects."""
-        keep = (df >= 2) & (df <= max(2, COMMON_SHARE * live))
+        """Write the documents' arrays, without words of a single one. How common a word is doesn't say what it tells: that is for the classifiers."""
+        keep = df >= 2
         idf = np.where(keep, np.log((1 + live) / (1 + np.maximum(df, 1))), 0).astype(np.float32)
         self.live = live
         run = encoder(self.key, self.content, self.titles, idf, self.keywords, len(self.domains))
