@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,11 +23,11 @@ from plenaria.session import broadcast_if_small, checkpoint, written
 #: Words are hashed into so many buckets: what comes to the driver has this bound at any size of the corpus.
 BUCKETS = 1 << 18
 #: Dimensions of the projected document vectors, those that one word touches, and leaves of the cluster tree.
-DIMENSIONS, TOUCHED, LEAVES = 64, 8, 64
-#: Trees grown: the first over TF-IDF vectors, each later one over terms weighed by how well they tell the leaves before apart.
-TREES = 2
+DIMENSIONS, TOUCHED, LEAVES = 64, 4, 64
+#: Trees grown: the first over TF-IDF vectors, each further one over terms weighed by how well they tell the leaves before apart.
+TREES = 1
 #: Lloyd rounds of each bisection.
-ROUNDS = 5
+ROUNDS = 4
 #: Documents' worth of the whole corpus' leaf mixture in each subject's, against chance.
 SMOOTH = 5.0
 #: Rounds that find a term's mixture of subjects.
@@ -49,6 +51,7 @@ _BAG = ("bag", "tf")
 _TYPES = {"words": np.int32, "lengths": np.int32, "prints": np.int64, "kinds": np.int8, "bag": np.int32, "tf": np.uint16, "hits": np.int32}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
+_NO_WORD = (b"", 0, 0, 0, ())
 
 
 def sentences(paragraphs) -> list[str]:
@@ -103,14 +106,22 @@ class Spoken:
         return cls(batch.num_rows, np.repeat(np.arange(batch.num_rows), held), unpacked(batch, "kinds")[0], unpacked(batch, "prints")[0], words, np.repeat(np.arange(len(lengths)), lengths))
 
 
-class _Buckets(dict):
-    """Buckets of words; it fills itself as words are met."""
+class _Tokens(dict):
+    """What ``read`` makes of a token's words; it fills itself as tokens are met."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+    def __init__(self, read: Callable[[list[str]], object]) -> None:
+        super().__init__()
+        self.read = read
+
+    def __missing__(self, token: str):
+        if len(self) > 500_000:
             self.clear()
-        b = self[word] = zlib.crc32(word.encode()) % BUCKETS
-        return b
+        found = self[token] = self.read(_WORD.findall(token))
+        return found
+
+
+def _buckets(words: list[str]) -> tuple[int, ...]:
+    return tuple([zlib.crc32(w.encode()) % BUCKETS for w in words])
 
 
 def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int, str]], subjects: int):
@@ -126,10 +137,10 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
         finder, first_words = ahocorasick.Automaton(), set()
         for d, k in keywords:
             finder.add_word(k, d)
-            first_words.add(k.split()[0])
+            first_words.add(_buckets(k.split())[0])
         if keywords:
             finder.make_automaton()
-        bucket_of, find, hash_of = _Buckets().__getitem__, _WORD.findall, xxhash.xxh64_intdigest
+        buckets_of, plain_of, hash_of = _Tokens(_buckets).__getitem__, _Tokens(lambda words: "".join([f" {w}" for w in words])).__getitem__, xxhash.xxh64_intdigest
         known: dict[str, tuple] = {}
         room = REMEMBERED
         frequency, live, kinds_of = np.zeros(BUCKETS, np.int64), 0, None
@@ -137,11 +148,12 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
         def read(sentence: str) -> tuple:
             """Buckets, their number, fingerprints as sentence and as title, subjects of keywords."""
             nonlocal room
-            found = find(sentence)
-            joined = " ".join(found)
-            own = np.fromiter(set(map(bucket_of, found)), np.int32)
-            hits = tuple(d for _, d in finder.iter(f" {joined} ")) if not first_words.isdisjoint(found) else ()
-            entry = (own.tobytes(), own.size, hash_of(joined) - (1 << 63), hash_of(f"{joined}\n") - (1 << 63), hits)
+            tokens = sentence.split()
+            if not (own := set(chain.from_iterable(map(buckets_of, tokens)))):
+                return _NO_WORD
+            joined = "".join(map(plain_of, tokens))
+            hits = tuple([d for _, d in finder.iter(f"{joined} ")]) if not own.isdisjoint(first_words) else ()
+            entry = (array("i", own).tobytes(), len(own), hash_of(joined) - (1 << 63), hash_of(f"{joined}\n") - (1 << 63), hits)
             room -= len(sentence)
             if room < 0:
                 known.clear()
@@ -357,9 +369,9 @@ class SubjectModel:
                 offsets = np.arange(len(own) + 1, dtype=np.int32) * DIMENSIONS
                 yield pa.RecordBatch.from_pydict({"vector": pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()))})
 
-        rows = self.arrays.select(*_BAG).mapInArrow(run, "vector array<float>").select(array_to_vector("vector").alias("features"))
         if not (weight > 0).any():  # a weighed term stands in two documents at least
             return Tree(weight, np.zeros((1, DIMENSIONS)))
+        rows = written(self.arrays.select(*_BAG).mapInArrow(run, "vector array<float>")).select(array_to_vector("vector").alias("features"))
         fitted = BisectingKMeans(k=LEAVES, maxIter=ROUNDS, seed=7, featuresCol="features").fit(rows)
         return Tree(weight, np.array(fitted.clusterCenters()))
 
@@ -520,8 +532,8 @@ def subjects(speeches: DataFrame, domains: DataFrame, topic_labels: DataFrame, l
     """``sid``, ``domain_id``, ``share``, ``by``: the subjects that each speech deals with.
 
     1. Speeches become normalised TF-IDF vectors (words hashed, projected by random signs), and
-       bisecting k-means makes a tree of all of them. A second tree is grown over the terms
-       weighed by how well they tell the first one's leaves apart.
+       bisecting k-means makes a tree of all of them. (Further trees may be grown over the terms
+       weighed by how well they tell the leaves before apart.)
     2. Each subject has a mixture of leaves, by the domains' keywords and the labels among
        their speeches. A term's spread over the leaves is explained as a mixture of those,
        which gives the terms that discriminate, and so label, each subject's leaves.
