@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenaria.llm.simhash import classes
-from plenaria.session import checkpoint
+from plenaria.llm.components import connected_components
+from plenaria.llm.simhash import fingerprints, near_duplicates, shingle_sets, word_hashes
+from plenaria.session import broadcast_if_small, checkpoint, written
 
 # --- what residue looks like --------------------------------------------------
 
-#: Slots that a template engine or a writer left unfilled.
+#: Slots that a template engine or a writer left unfilled; a slot ends at its closing mark, however far that is.
 SLOTS = re.compile(
-    r"""\{\{[^{}\n]{1,80}\}\} | \$\{[^{}\n]{1,80}\} | \{%[^%\n]{1,80}%\} | <%[^%\n]{1,80}%> | \[\[[^\[\]\n]{1,80}\]\]
-    | (?<![\w{}$]) \{ [A-Za-z_0-9.]{1,40} \} | %\([A-Za-z_.0-9]+\)[sdif] | @@\w+@@ | __[A-Z][A-Z0-9_]*__ | \#[A-Z][A-Z0-9_]{2,}\#
+    r"""\{\{[^{}\n]+\}\} | \$\{[^{}\n]+\} | \{%[^%\n]+%\} | <%[^%\n]+%> | \[\[[^\[\]\n]+\]\]
+    | (?<![\w{}$]) \{ [A-Za-z_0-9.]+ \} | %\([A-Za-z_.0-9]+\)[sdif] | @@\w+@@ | __[A-Z][A-Z0-9_]*__ | \#[A-Z][A-Z0-9_]{2,}\#
     | %[A-Z][A-Z0-9_]{2,}% | \$[A-Z][A-Z0-9_]{2,}\$ | <[A-Z][A-Z0-9_]{2,}> | \[(?!SIC\]|NDLR\])[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ0-9_]{2,}\]
-    | \[[^\[\]\n]{0,60}\b(?i:compléter|insérer|préciser|renseigner|remplir)\b[^\[\]\n]{0,60}\] | \([^()\n]{0,40}\b(?i:à\ insérer|à\ compléter|à\ préciser|à\ renseigner)\b[^()\n]{0,40}\)
-    | <\s?(?i:insérer|compléter|préciser|renseigner)\b[^<>\n]{0,80}> | \[[●•_.\ ]{1,20}(?<!\.)\] | \[object\ Object\] | \bundefined\b | \bNaN\b | (?<!\w)null(?!\w)
-    | «[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ\ '’]{2,40}» | \bPrénom\ NOM\b | \bn°\ ?X{2,}\b | \bXX/XX/\w{2,4}\b | \b(?:TODO|FIXME|TBD)\b""",
-    re.X,
+    | \[[^\[\]\n]*\b(?i:compléter|insérer|préciser|renseigner|remplir)\b[^\[\]\n]*\] | \([^()\n]*\b(?i:à\ insérer|à\ compléter|à\ préciser|à\ renseigner)\b[^()\n]*\)
+    | <\s?(?i:insérer|compléter|préciser|renseigner)\b[^<>\n]*> | \[[●•_.\ ]+(?<!\.)\] | \[object\ Object\]
+    | «[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ\ '’]{2,}» | \bPrénom\ NOM\b | \bn°\ ?X{2,}\b | \bXX/XX/\w{2,4}\b | \b(?:TODO|FIXME|TBD)\b\s*(?::|$)""",
+    re.X | re.M,
 )
+#: What a template engine prints for a value that is missing. In prose that speaks of such values they are words, so they count
+#: after a form of address or a label, or where the segment's other small words are French.
+MISSING = re.compile(r"(?<![\w'’-])(?:undefined|NaN|null)(?![\w'’-])")
+_LABELLED = re.compile(r"(?:^|\b(?:M\.|Mme|Mlle|cher|chère|dear|mr\.?|mrs\.?|ms\.?|hello|bonjour|n°|no\.?)|[:(])\s*$", re.I)
+_FRENCH = frozenset("le la les l un une des du de d et à au aux en dans par pour sur avec sans ne pas que qui ce cette ces son sa ses nous vous il elle est sont".split())
+_OTHERS = frozenset("the of is are was be to a an and in for with that this it by or not as if when der die das und ist ein eine von mit zu den el los las y es por con una il di che per".split())
 
 #: Fixed phrases of filler, of error pages and of script or browser notices, in lower case: at the start of a segment, and anywhere in it.
 NOTICE_STARTS = re.compile(
@@ -41,7 +49,7 @@ NOTICE_STARTS = re.compile(
     | (?:votre\s)?session\s(?:a\s)?expirée?\b | too\smany\srequests | request\sid\b | référence\sde\sl['’]incident\s?: | (?:php\s)?(?:fatal|parse)\serror\s?:
     | oups\b | vérification\sde\svotre\snavigateur
     | (?:veuillez|merci\sd['’]|pensez\sà|vous\sdevez)\s?(?:activer|autoriser)\s(?:le\s|les\s)?(?:javascript|scripts?|cookies)
-    | chargement\s(?:du|de\sla|des|en\scours)\b.{0,40}(?:…|\.\.\.)$""",
+    | chargement\s(?:du|de\sla|des|en\scours)\b.*(?:…|\.\.\.)$""",
     re.X,
 )
 NOTICES_WITHIN = re.compile(
@@ -67,8 +75,14 @@ LATIN = frozenset(
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat "
     "cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-#: Tokens typed to fill space; other tokens count when they are keyboard rows or one letter repeated.
-TYPED = frozenset("bla test texte azerty qsdfgh wxcvbn qwerty qwertz asdf asdfgh zxcvbn foo bar toto titi blah xxx".split())
+#: Tokens typed to fill space; other tokens count when they run along a keyboard row or repeat one letter.
+TYPED = frozenset("bla test texte foo bar toto titi blah xxx".split())
+#: Rows of French and English keyboards.
+ROWS = ("azertyuiop", "qsdfghjklm", "wxcvbn", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertz")
+#: Share of a text's words in residue from which the text is residue as a whole, and of its words that aren't quoted.
+WHOLLY, SPOKEN = 0.5, 0.8
+#: Characters of segments whose reading a task remembers; forgetting them costs time only.
+REMEMBERED = 20_000_000
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+")
 _SPACE = re.compile(r"[^\S\n]+")
@@ -79,18 +93,32 @@ _WORD = re.compile(r"\w+")
 _NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]+\b|\d+")
 
 
+def _typed(word: str) -> bool:
+    """Whether a word is one that fingers make, not thought."""
+    return word in TYPED or len(set(word)) == 1 and (len(word) > 3 or len(word) == 3 and word[0] not in "icmx") or len(word) > 3 and any(word in row for row in ROWS)
+
+
 def _filler(words: list[str]) -> bool:
     n = len(words)
-    if n < 3:
+    if n < 2:
         return False
     latin = sum(w in LATIN for w in words)
     if latin >= 0.7 * n and any(len(w) > 4 and w in LATIN for w in words):
         return True
     kinds = set(words)
-    if len(kinds) > 4 or n < 2 * len(kinds):
-        return False
-    odd = all(w in TYPED or len(set(w)) == 1 and len(w) > 1 for w in kinds)
-    return odd or n >= 8 and n >= 3 * len(kinds)
+    return all(map(_typed, kinds)) or len(kinds) <= 4 and n >= 8 and n >= 3 * len(kinds)
+
+
+def _missing(text: str) -> bool:
+    """Whether a missing value was printed into the text."""
+    for found in MISSING.finditer(text):
+        if _LABELLED.search(text[max(0, found.start() - 12) : found.start()]):
+            return True
+        a = max((m.end() for m in _SPLIT.finditer(text[: found.start()])), default=0)
+        near = [w.lower() for w in _WORD.findall(text[a : found.start()])[-6:] + _WORD.findall(text[found.end() : found.end() + 60])[:6]]
+        if sum(w in _FRENCH for w in near) > sum(w in _OTHERS for w in near):
+            return True
+    return False
 
 
 def segments(text: str) -> list[str]:
@@ -103,43 +131,89 @@ def normal_segment(segment: str) -> str:
     return " ".join(_WORD.findall(_NUMBER.sub("0", segment.lower())))
 
 
-def segment_kind(segment: str) -> str | None:
-    """``slot``, ``filler`` or ``notice`` where the segment is residue; what it only quotes is none."""
-    spoken = _QUOTED.sub(" « » ", segment) if _MARK.search(segment) else segment
-    if _SLOTTED.search(spoken) and SLOTS.search(spoken):
-        return "slot"
+def unquoted(text: str) -> str:
+    """A text without what it quotes."""
+    return _QUOTED.sub(" « » ", text) if _MARK.search(text) else text
+
+
+def has_slot(spoken: str) -> bool:
+    """Whether an unquoted text has an unfilled slot."""
+    return bool(_SLOTTED.search(spoken)) and (bool(SLOTS.search(spoken)) or _missing(spoken))
+
+
+def prose_kind(spoken: str, words: list[str]) -> str | None:
+    """``filler`` or ``notice`` of an unquoted segment and its words in lower case."""
     low = spoken.lower()
     if NOTICE_STARTS.match(low) or any(h in low for h in HINTS) and NOTICES_WITHIN.search(low):
         return "notice"
-    return "filler" if _filler(_WORD.findall(low)) else None
+    return "filler" if _filler(words) else None
+
+
+def segment_kind(segment: str) -> str | None:
+    """``slot``, ``filler`` or ``notice`` where the segment is residue; what it only quotes is none."""
+    spoken = unquoted(segment)
+    return "slot" if has_slot(spoken) else prose_kind(spoken, _WORD.findall(spoken.lower()))
 
 
 def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class _Segments(dict):
+    """What is known of segments: kind, digest, words out of quotes, all words, their hashes."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: dict[str, int] = {}
+        self.room = REMEMBERED
 
-def _labelled(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``kinds``, ``evidence`` (hashes of the residue segments), ``residue_segments``."""
+    def __missing__(self, segment: str) -> tuple[str | None, int, int, int, bytes]:
+        spoken = unquoted(segment)
+        words = _WORD.findall(segment.lower())
+        own = words if spoken is segment else _WORD.findall(spoken.lower())
+        found = (prose_kind(spoken, own), _digest(normal_segment(segment)), len(own), len(words), np.array(word_hashes(segment, self.hashes), np.uint64).tobytes())
+        self.room -= len(segment)
+        if self.room < 0:
+            self.clear()
+            self.room = REMEMBERED
+        self[segment] = found
+        return found
+
+
+def readings(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """What one pass over the whole texts finds, a row for each document with words or residue.
+
+    ``same`` and ``rough`` are hashes of the text and of its segments without case, numbers and signs;
+    ``kinds`` the kinds of residue; ``evidence`` digests of the filler and notices; ``wholly`` whether residue
+    holds ``WHOLLY`` of the words; ``spoken`` the share of words out of quotes; ``prints`` and ``n`` as in
+    :func:`plenaria.llm.simhash.text_fingerprints`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str | None] = {}
+        known = _Segments()
         for batch in batches:
-            kinds, evidence = [], []
+            rows, hashes, lengths = [], [], []
             for t in batch[text]:
-                own: dict[int, str] = {}
+                kinds, evidence, digests, residue_words, own, every = set(), set(), [], 0, 0, 0
                 for s in segments(t):
-                    if s not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[s] = segment_kind(s)
-                    if known[s]:
-                        own[_digest(normal_segment(s))] = known[s]
-                kinds.append(sorted(set(own.values())))
-                evidence.append(sorted(own))
-            yield pd.DataFrame({key: batch[key], "kinds": kinds, "evidence": evidence})
+                    kind, digest, out, n, hashed = known[s]
+                    digests.append(digest)
+                    hashes.append(hashed)
+                    own, every = own + out, every + n
+                    if kind:
+                        kinds.add(kind)
+                        evidence.add(digest)
+                        residue_words += out
+                if _SLOTTED.search(t) and has_slot(unquoted(t)):
+                    kinds.add("slot")
+                lengths.append(every)
+                rows.append((xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(np.array(digests, np.int64).tobytes()), sorted(kinds), sorted(evidence), residue_words > WHOLLY * max(own, 1), own / every if every else 1.0))
+            prints, n = fingerprints(*shingle_sets(np.frombuffer(b"".join(hashes), np.uint64), np.array(lengths, np.int64)), len(rows))
+            out = pd.DataFrame(rows, columns=["same", "rough", "kinds", "evidence", "wholly", "spoken"])
+            yield out.assign(**{key: batch[key].to_numpy(), "prints": list(prints), "n": n})[[key, "same", "rough", "kinds", "evidence", "wholly", "spoken", "prints", "n"]]
 
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, kinds array<string>, evidence array<bigint>")
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(key, text).mapInPandas(run, f"`{key}` {kind}, same binary, rough binary, kinds array<string>, evidence array<bigint>, wholly boolean, spoken double, prints array<bigint>, n bigint")
 
 
 def _segment_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,35 +231,36 @@ def _segment_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``kinds`` and ``trusted`` of every document that holds residue.
 
-    1. Texts equal but for case, numbers and spacing form a class; one stands for all
-       as to near-duplicates, while labels are found on every distinct text.
-    2. Trusted labels: segments that are slots, filler or notices and aren't quoted.
-    3. Class representatives are compared by partitioned SimHash tables, verified by
-       Hamming distance and by Jaccard similarity (five words, 0.8).
-    4. Labels go through the connected components to texts without one.
-    5. Exact check: such a text counts if it holds, unquoted, a filler or notice segment that is
-       trusted residue in its component (``trusted`` is then false). A near-copy of
-       a text with a slot, but without that slot, is a genuine text.
+    1. One pass reads each whole text: trusted labels (slots, filler or notices that aren't quoted) and SimHashes.
+       Texts equal but for case, numbers and signs form a class; one stands for all as to near-duplicates.
+    2. Classes with trusted filler or notices are the seeds: their near-duplicates are found by partitioned
+       SimHash tables, verified by Hamming distance and by Jaccard similarity (five words, 0.8), then the
+       near-duplicates of those, until the components of all seeds are whole.
+    3. Labels go through the connected components to texts without one (``trusted`` is then false): to all
+       that speak for themselves (not in quotes) where a text of the component is residue as a whole, else to
+       those that hold, unquoted, a segment that is trusted filler or a trusted notice in the component. A near-copy
+       of a text with a slot, but without that slot, is a genuine text.
 
     Documents with null or blank text are no cases; repeated keys count once for each
     distinct text; other columns are ignored; an empty table gives an empty result.
     """
     own = documents.select(F.col(key), F.col(text).alias("_text")).where(F.col(key).isNotNull() & (F.trim("_text") != ""))
-    rough = F.lower(F.regexp_replace(F.regexp_replace("_text", r"[0-9]+", "0"), r"[\s\x{00a0}\x{202f}]+", " "))
-    hashed = own.select(key, F.md5("_text").alias("_md5"), F.md5(rough).alias("_class"))
-    exact = hashed.groupBy("_md5", "_class").agg(F.min(key).alias("_one"))
-    firsts = exact.groupBy("_class").agg(F.min("_one").alias("_rep"))
-    ones = checkpoint(exact.join(firsts, "_class").select("_md5", "_one", "_rep"))
-    texts = own.join(ones.select(F.col("_one").alias(key), F.col("_rep")), key).dropDuplicates([key])
-    labels = checkpoint(_labelled(texts, key, "_text"))
-    groups = classes(texts.where(F.col(key) == F.col("_rep")), key, "_text")
-    component = ones.join(groups.withColumnRenamed("node", "_rep"), "_rep", "left").select("_md5", F.col("_one").alias(key), F.coalesce("component", "_rep").alias("_component"))
-    marked = component.join(labels, key)
-    trusted = marked.where(F.size("kinds") > 0)
-    shared = trusted.where(F.arrays_overlap("kinds", F.array(F.lit("filler"), F.lit("notice")))).select("_component", F.explode("evidence").alias("digest"), "kinds").groupBy("_component", "digest").agg(F.max("kinds").alias("kinds"))
-    reached = marked.where(F.size("kinds") == 0).join(shared.select("_component").distinct(), "_component", "left_semi").select(key, "_component")
-    digests = _segment_digests(own.join(reached.select(key), key, "left_semi"), key, "_text")
-    confirmed = digests.join(reached, key).join(shared, ["_component", "digest"]).groupBy(key).agg(F.max("kinds").alias("kinds"))
-    found = trusted.select(key, "kinds", F.lit(True).alias("trusted")).unionByName(confirmed.select(key, "kinds", F.lit(False).alias("trusted")))
-    by_text = found.join(component.select(key, "_md5"), key).select("_md5", "kinds", "trusted")
-    return hashed.select(key, "_md5").distinct().join(by_text, "_md5").select(key, "kinds", "trusted")
+    read = written(readings(own, key, "_text"))
+    ones = read.groupBy("same").agg(F.min(key).alias("_one"), F.first("rough").alias("rough"), F.first("kinds").alias("kinds"), F.first("evidence").alias("evidence"), F.first("wholly").alias("wholly"), F.first("spoken").alias("spoken"))
+    labelled = F.arrays_overlap("kinds", F.array(F.lit("filler"), F.lit("notice")))
+    groups = checkpoint(read.where("n > 0").groupBy("rough").agg(F.min(F.struct(F.col(key), "prints", "n")).alias("_r"), F.max(labelled).alias("_seed")))
+    heads = groups.select(F.col(f"_r.{key}").alias(key), "_r.prints", "_r.n")
+    links = near_duplicates(own, key, "_text", groups.where("_seed").select(F.col(f"_r.{key}").alias(key)), heads)
+    component = connected_components(links)
+    held = groups.select("rough", F.col(f"_r.{key}").alias("node"), "_seed").join(component, "node", "left").where(F.col("_seed") | F.col("component").isNotNull())
+    texts = checkpoint(ones.join(broadcast_if_small(held.select("rough", F.coalesce("component", "node").alias("_component"))), "rough", "left").drop("rough"))
+    trusted = texts.where(F.size("kinds") > 0)
+    seeds = trusted.where(labelled & F.col("_component").isNotNull())
+    shared = seeds.select("_component", F.explode("evidence").alias("digest"), "kinds").groupBy("_component", "digest").agg(F.max("kinds").alias("kinds"))
+    whole = seeds.where("wholly").groupBy("_component").agg(F.max("kinds").alias("kinds"))
+    reached = texts.where((F.size("kinds") == 0) & F.col("_component").isNotNull()).select("same", "_one", "_component", "spoken")
+    as_whole = reached.where(F.col("spoken") >= SPOKEN).join(whole, "_component").select("same", "kinds")
+    digests = _segment_digests(own.join(broadcast_if_small(reached.select(F.col("_one").alias(key)).distinct()), key, "left_semi"), key, "_text")
+    confirmed = digests.join(reached.select("same", F.col("_one").alias(key), "_component"), key).join(shared, ["_component", "digest"]).select("same", "kinds")
+    found = trusted.select("same", "kinds", F.lit(True).alias("trusted")).unionByName(as_whole.unionByName(confirmed).groupBy("same").agg(F.max("kinds").alias("kinds")).withColumn("trusted", F.lit(False)))
+    return read.select(key, "same").distinct().join(broadcast_if_small(checkpoint(found)), "same").groupBy(key, "same").agg(F.max("kinds").alias("kinds"), F.max("trusted").alias("trusted")).drop("same")

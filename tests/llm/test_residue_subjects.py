@@ -14,7 +14,8 @@ from plenaria.llm import components, residue, simhash, subjects
         ("Un champ « à compléter » que nul ne comprend.", None), ("Je cite : « […] maintenus [sic] ».", None), ("La formule est {taux × assiette}.", None), ("La part atteint 9 % [contre 8 % l'an passé].", None), ("Lorem ipsum dolor sit amet.", "filler"),
         ("C'est du lorem ipsum : on remplit des pages sans rien dire.", None), ("bla bla bla bla", "filler"), ("Les tests, encore les tests, toujours les tests : voilà.", None), ("404 Not Found", "notice"), ("Un usager tombe sur une « erreur 404 » souvent.", None),
         ("Veuillez activer JavaScript pour afficher cette page.", "notice"), ("Le portail exige d'activer JavaScript, ce qui exclut les postes anciens.", None), ("Le serveur est en maintenance, revenez plus tard.", "notice"), ("Le site du ministère est en maintenance depuis mars.", None),
-        ("Traceback (most recent call last): KeyError: 'x'", "notice"), ("L'amendement n° 500 est identique à l'amendement n° 503.", None), ("", None),
+        ("Traceback (most recent call last): KeyError: 'x'", "notice"), ("{{ " + "a" * 300 + " }}", "slot"), ("[à compléter par " + "x" * 200 + "]", "slot"), ("Cher undefined, bonjour.", "slot"), ("Le débat sur null dans la salle.", "slot"), ("The value of f is undefined at zero.", None),
+        ("By the null hypothesis, nothing follows.", None), ("Note de M. undefined.", "slot"), ("TODO : finir", "slot"), ("Un mot TODO ici.", None), ("Lorem ipsum", "filler"), ("aaaa bbbb cccc", "filler"), ("azerty qsdfgh wxcvbn", "filler"), ("Louis XIII, Louis III", None), ("Non, non.", None), ("L'amendement n° 500 est identique à l'amendement n° 503.", None), ("", None),
     ],
 )
 def test_segment_kind(segment, kind):
@@ -115,3 +116,80 @@ def test_subjects_on_held_out_labels(spark):
     assert right / len(held) >= 0.9
     assert not {500, 501, 502, None} & set(found)
     assert subjects.subjects(said.limit(0), domains, labels).count() == 0
+
+
+def test_a_slot_may_hold_sentence_ends(spark):
+    df = spark.createDataFrame([(1, "Bonjour {{ user.name ? user.name : x. Sinon }} fin."), (2, "Un texte. Un autre.")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in residue.residue(df).collect()] == [1]
+
+
+def test_labels_of_whole_pages_reach_near_copies_without_a_pattern(spark):
+    rng = random.Random(8)
+    page = "Veuillez réessayer " + " ".join(words(rng, 100)) + "."
+    copy = page.replace("Veuillez réessayer", "Nous recommençons")
+    body = " ".join(words(rng, 120))
+    part = "Veuillez réessayer " + " ".join(words(rng, 5)) + ". " + body
+    assert residue.segment_kind(page) == "notice" and residue.segment_kind(copy) is None
+    rows = [(1, page), (2, copy), (3, f"« {copy} »"), (4, part), (5, body), (6, body + " fin")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["trusted"] for r in residue.residue(df).collect()} == {1: True, 2: False, 4: True}
+
+
+def pairs_near(rng, similarity, count, n=300):
+    """Texts of which each two in a row have about this similarity."""
+    texts = []
+    while len(texts) < 2 * count:
+        own = [f"m{rng.randrange(10**6)}" for _ in range(n)]
+        copy, a = list(own), set(simhash.shingles(" ".join(own), {}).tolist())
+        while True:
+            copy[rng.randrange(n)] = f"a{rng.randrange(10**6)}"
+            b = set(simhash.shingles(" ".join(copy), {}).tolist())
+            now = len(a & b) / len(a | b)
+            if now < similarity + 0.02:
+                break
+        if now >= similarity:
+            texts += [" ".join(own), " ".join(copy)]
+    return texts
+
+
+def test_recall_at_the_least_similarity(spark):
+    texts = pairs_near(random.Random(12), simhash.SIMILARITY, 300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {(r["a"], r["b"]) for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+    assert sum((2 * i, 2 * i + 1) in found for i in range(300)) >= 0.9 * 300
+
+
+def test_keys_grow_with_the_corpus():
+    small, large = simhash.tables_for(1000), simhash.tables_for(10**8)
+    assert len(small[0]) == simhash.LEAST_BITS and len(large[0]) == 27 and len(large) > len(small)
+
+
+def test_many_near_copies_are_one_component(spark):
+    rng = random.Random(13)
+    own = words(rng, 200)
+    texts = []
+    for _ in range(400):
+        copy = list(own)
+        copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    links = simhash.near_duplicates(df, "doc_id", "text")
+    assert links.count() < 20 * 400  # not all pairs
+    found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert len(found) == 400 and set(found.values()) == {0}
+
+
+def test_links_from_seeds_reach_whole_components(spark):
+    rng = random.Random(14)
+    own = words(rng, 200)
+    chain = [list(own)]
+    for i in range(6):
+        step = list(chain[-1])
+        for j in range(4):
+            step[(i * 4 + j) * 7 % 200] = f"y{i}-{j}"
+        chain.append(step)
+    texts = [" ".join(x) for x in chain] + [" ".join(words(rng, 200)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    full = {r["node"] for r in simhash.classes(df, "doc_id", "text").collect()}
+    links = simhash.near_duplicates(df, "doc_id", "text", df.where("doc_id = 0"))
+    assert {r["node"] for r in components.connected_components(links).collect()} == full >= set(range(7))
