@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenaria.llm.components import connected_components
-from plenaria.llm.simhash import fingerprints, near_duplicates, shingle_sets, word_hashes
+from plenaria.llm.simhash import WordHashes, fingerprints, near_duplicates, shingle_sets
 from plenaria.session import broadcast_if_small, checkpoint, written
 
 # --- what residue looks like --------------------------------------------------
@@ -75,6 +75,7 @@ LATIN = frozenset(
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat "
     "cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+_LONG_LATIN = frozenset(w for w in LATIN if len(w) > 4)
 #: Tokens typed to fill space; other tokens count when they run along a keyboard row or repeat one letter.
 TYPED = frozenset("bla test texte foo bar toto titi blah xxx".split())
 #: Rows of French and English keyboards.
@@ -86,6 +87,8 @@ REMEMBERED = 20_000_000
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+")
 _SPACE = re.compile(r"[^\S\n]+")
+_SPACED = re.compile("  |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_DIGIT = re.compile(r"\d")
 _QUOTED = re.compile(r"«\s[^«»\n]*\s»|“[^“”\n]*”|\"[^\"\n]*\"|« [^«»\n]*»")
 _MARK = re.compile(r"[«“\"]")
 _SLOTTED = re.compile(r"[{}\[\]<>@#$%_(«]|undefined|NaN|null|NOM|XX|TODO|FIXME|TBD")
@@ -102,10 +105,9 @@ def _filler(words: list[str]) -> bool:
     n = len(words)
     if n < 2:
         return False
-    latin = sum(w in LATIN for w in words)
-    if latin >= 0.7 * n and any(len(w) > 4 and w in LATIN for w in words):
-        return True
     kinds = set(words)
+    if not kinds.isdisjoint(_LONG_LATIN) and sum([w in LATIN for w in words]) >= 0.7 * n:
+        return True
     return all(map(_typed, kinds)) or len(kinds) <= 4 and n >= 8 and n >= 3 * len(kinds)
 
 
@@ -123,12 +125,15 @@ def _missing(text: str) -> bool:
 
 def segments(text: str) -> list[str]:
     """Lines and sentences of a whole text, single-spaced."""
-    return [s.strip() for s in _SPLIT.split(_SPACE.sub(" ", text)) if s.strip()]
+    single = _SPACE.sub(" ", text) if _SPACED.search(text) else text
+    return [s for x in _SPLIT.split(single) if (s := x.strip())]
 
 
-def normal_segment(segment: str) -> str:
-    """Words in lower case, numbers and hexadecimal tokens as 0."""
-    return " ".join(_WORD.findall(_NUMBER.sub("0", segment.lower())))
+def normal_segment(low: str, words: list[str] | None = None) -> str:
+    """Words of a segment in lower case, numbers and hexadecimal tokens as 0."""
+    if _DIGIT.search(low):
+        words = _WORD.findall(_NUMBER.sub("0", low))
+    return " ".join(_WORD.findall(low) if words is None else words)
 
 
 def unquoted(text: str) -> str:
@@ -141,10 +146,20 @@ def has_slot(spoken: str) -> bool:
     return bool(_SLOTTED.search(spoken)) and (bool(SLOTS.search(spoken)) or _missing(spoken))
 
 
-def prose_kind(spoken: str, words: list[str]) -> str | None:
-    """``filler`` or ``notice`` of an unquoted segment and its words in lower case."""
-    low = spoken.lower()
-    if NOTICE_STARTS.match(low) or any(h in low for h in HINTS) and NOTICES_WITHIN.search(low):
+def _hinted() -> Callable[[str], bool]:
+    """Whether one of HINTS stands in a text."""
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    for h in HINTS:
+        finder.add_word(h, h)
+    finder.make_automaton()
+    return lambda low: next(finder.iter(low), None) is not None
+
+
+def prose_kind(low: str, words: list[str], hinted: Callable[[str], bool]) -> str | None:
+    """``filler`` or ``notice`` of an unquoted segment in lower case and its words."""
+    if NOTICE_STARTS.match(low) or hinted(low) and NOTICES_WITHIN.search(low):
         return "notice"
     return "filler" if _filler(words) else None
 
@@ -152,7 +167,8 @@ def prose_kind(spoken: str, words: list[str]) -> str | None:
 def segment_kind(segment: str) -> str | None:
     """``slot``, ``filler`` or ``notice`` where the segment is residue; what it only quotes is none."""
     spoken = unquoted(segment)
-    return "slot" if has_slot(spoken) else prose_kind(spoken, _WORD.findall(spoken.lower()))
+    low = spoken.lower()
+    return "slot" if has_slot(spoken) else prose_kind(low, _WORD.findall(low), _hinted())
 
 
 def _digest(text: str) -> int:
@@ -160,18 +176,17 @@ def _digest(text: str) -> int:
 
 
 class _Segments(dict):
-    """What is known of segments: kind, digest, words out of quotes, all words, their hashes."""
+    """What is known of segments: kind (quotes left out of sight), digest, number of words, their hashes."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: dict[str, int] = {}
+        self.hashes, self.hinted = WordHashes(), _hinted()
         self.room = REMEMBERED
 
-    def __missing__(self, segment: str) -> tuple[str | None, int, int, int, bytes]:
-        spoken = unquoted(segment)
-        words = _WORD.findall(segment.lower())
-        own = words if spoken is segment else _WORD.findall(spoken.lower())
-        found = (prose_kind(spoken, own), _digest(normal_segment(segment)), len(own), len(words), np.array(word_hashes(segment, self.hashes), np.uint64).tobytes())
+    def __missing__(self, segment: str) -> tuple[str | None, int, int, bytes]:
+        low = segment.lower()
+        words = _WORD.findall(low)
+        found = (prose_kind(low, words, self.hinted), _digest(normal_segment(low, words)), len(words), self.hashes.of(words))
         self.room -= len(segment)
         if self.room < 0:
             self.clear()
@@ -195,16 +210,20 @@ def readings(documents: DataFrame, key: str, text: str) -> DataFrame:
             rows, hashes, lengths = [], [], []
             for t in batch[text]:
                 kinds, evidence, digests, residue_words, own, every = set(), set(), [], 0, 0, 0
-                for s in segments(t):
-                    kind, digest, out, n, hashed = known[s]
+                said, parts = unquoted(t), segments(t)
+                for s in parts:
+                    _, digest, n, hashed = known[s]
                     digests.append(digest)
                     hashes.append(hashed)
-                    own, every = own + out, every + n
+                    every += n
+                for s in parts if said is t else segments(said):
+                    kind, digest, n, _ = known[s]
+                    own += n
                     if kind:
                         kinds.add(kind)
                         evidence.add(digest)
-                        residue_words += out
-                if _SLOTTED.search(t) and has_slot(unquoted(t)):
+                        residue_words += n
+                if has_slot(said):
                     kinds.add("slot")
                 lengths.append(every)
                 rows.append((xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(np.array(digests, np.int64).tobytes()), sorted(kinds), sorted(evidence), residue_words > WHOLLY * max(own, 1), own / every if every else 1.0))
@@ -221,7 +240,7 @@ def _segment_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {(k, _digest(n)) for k, t in zip(batch[key], batch[text]) for s in segments(t) if (n := normal_segment(_QUOTED.sub(" ", s)))}
+            rows = {(k, _digest(n)) for k, t in zip(batch[key], batch[text]) for s in segments(unquoted(t)) if (n := normal_segment(s.lower()))}
             yield pd.DataFrame(list(rows), columns=[key, "digest"])
 
     kind = texts.schema[key].dataType.simpleString()

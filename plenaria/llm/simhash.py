@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,28 +63,31 @@ def shingle_sets(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
         keys.append((owner[at].astype(np.uint64) << np.uint64(48)) | (_folded(words, SHINGLE)[at] >> _HASH_BITS))
     for i in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)):
         keys.append((np.uint64(i) << np.uint64(48)) | (_folded(words[starts[i] : ends[i]], int(lengths[i])) >> _HASH_BITS))
-    found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    found = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
     return (found >> np.uint64(48)).astype(np.int64), found & np.uint64((1 << 48) - 1)
 
 
-def word_hashes(text: str, seen: dict[str, int]) -> list[int]:
-    """64-bit hashes of a text's words in lower case."""
-    import xxhash
+class WordHashes(dict):
+    """64-bit hashes of words; it fills itself as words are met."""
 
-    hashes = []
-    for w in _WORD.findall(text.lower()):
-        h = seen.get(w)
-        if h is None:
-            if len(seen) > 500_000:
-                seen.clear()
-            h = seen[w] = xxhash.xxh64_intdigest(w)
-        hashes.append(h)
-    return hashes
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
+    def of(self, words: list[str]) -> bytes:
+        return array("Q", map(self.__getitem__, words)).tobytes()
 
-def shingles(text: str, seen: dict[str, int]) -> np.ndarray:
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def shingles(text: str, seen: WordHashes | None = None) -> np.ndarray:
     """Distinct hashes of the five-word shingles of a whole text."""
-    own = np.array(word_hashes(text, seen), dtype=np.uint64)
+    own = np.frombuffer((WordHashes() if seen is None else seen).of(words_of(text)), np.uint64)
     return shingle_sets(own, np.array([len(own)]))[1]
 
 
@@ -92,7 +97,7 @@ def fingerprints(owner: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.
     ends = np.cumsum(sizes)
     out = np.zeros((texts, PRINTS), np.int64)
     for p in range(PRINTS):
-        mixed = _mixed(hashes + np.uint64(p + 1) * _MASK).astype(">u8").view(np.uint8).reshape(-1, 8)
+        mixed = _mixed(hashes + np.array([p + 1], np.uint64) * _MASK).astype(">u8").view(np.uint8).reshape(-1, 8)
         for i in np.flatnonzero(sizes):
             ones = np.zeros(64, np.int64)
             for at in range(ends[i] - sizes[i], ends[i], 255 * 256):
@@ -107,11 +112,11 @@ def text_fingerprints(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``prints`` (array of bigint), ``n`` (distinct shingles) of every text that has words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen = WordHashes()
         for batch in batches:
-            hashes = [word_hashes(t, seen) for t in batch[text]]
-            lengths = np.array([len(h) for h in hashes], dtype=np.int64)
-            prints, n = fingerprints(*shingle_sets(np.array([x for h in hashes for x in h], np.uint64), lengths), len(lengths))
+            hashes = [seen.of(words_of(t)) for t in batch[text]]
+            lengths = np.array([len(h) // 8 for h in hashes], dtype=np.int64)
+            prints, n = fingerprints(*shingle_sets(np.frombuffer(b"".join(hashes), np.uint64), lengths), len(lengths))
             out = pd.DataFrame({key: batch[key], "prints": list(prints), "n": n})
             yield out[out["n"] > 0]
 
@@ -207,7 +212,7 @@ def _verified(texts: DataFrame, key: str, text: str, heads: DataFrame, pairs: Da
     ends = close.select(F.explode(F.array("a", "b")).alias(key)).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen = WordHashes()
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "_s": [shingles(t, seen).view(np.int64) for t in batch[text]]})
 

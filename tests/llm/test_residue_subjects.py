@@ -37,7 +37,7 @@ def test_near_duplicates_against_brute_force(spark):
             copy[rng.randrange(120)] = "autre"
             texts.append(" ".join(copy))
     texts += ["court", "court un", "a b c d e f"]
-    sets = [set(simhash.shingles(t, {}).tolist()) for t in texts]
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
     want = set()
     for i in range(len(texts)):
         for j in range(i):
@@ -140,10 +140,10 @@ def pairs_near(rng, similarity, count, n=300):
     texts = []
     while len(texts) < 2 * count:
         own = [f"m{rng.randrange(10**6)}" for _ in range(n)]
-        copy, a = list(own), set(simhash.shingles(" ".join(own), {}).tolist())
+        copy, a = list(own), set(simhash.shingles(" ".join(own)).tolist())
         while True:
             copy[rng.randrange(n)] = f"a{rng.randrange(10**6)}"
-            b = set(simhash.shingles(" ".join(copy), {}).tolist())
+            b = set(simhash.shingles(" ".join(copy)).tolist())
             now = len(a & b) / len(a | b)
             if now < similarity + 0.02:
                 break
