@@ -62,6 +62,11 @@ ranked AS (SELECT pid, session_uid, row_number() OVER (PARTITION BY pid, session
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of every sitting, with the one person who speaks."""
+    return transcripts.turns(table(spark, sf_dir, "transcript_lines"), table(spark, sf_dir, "politicians", "acteur_id", "full_name"), text=False)
+
+
+def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the clean text of each turn."""
     return transcripts.turns(table(spark, sf_dir, "transcript_lines"), table(spark, sf_dir, "politicians", "acteur_id", "full_name"))
 
 
@@ -122,6 +127,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "p1_found": (p1_found, _P1 + "SELECT term, mark FROM marked WHERE mark <> 'useful'"),
     "p1_frequency": (p1_frequency, _P1 + "SELECT * FROM marked"),
     "p2_found": (p2_found, None),
+    "p2_turns": (p2_turns, None),
     "p3_found": (p3_found, _P3 + "SELECT pid, session_uid, rank_no, term FROM ranked WHERE rank_no <= 5"),
     "p4_found": (p4_found, None),
     "p4_subjects": (p4_subjects, None),

@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,15 +36,21 @@ STANDING = re.compile(
 )
 #: Sounds that fill a pause.
 FILLERS = re.compile(r"\b(?:euh+|heu+|hum+|h+m+|mm+h*|mh+|ben|bah|hein|beuh)\b", re.I)
+#: Fillers with the commas around them; a capitalised one before another capital is a name.
+_PAUSE = re.compile(r"(?:,\s*)?\b(?:(?i:euh+|heu+|hum+|h+m+|mm+h*|mh+|bah|hein|beuh)|ben|B(?:en|EN)(?!\s+[A-ZÀ-Ý]))\b(?:\s*[,…])*")
+_BEFORE_STOP = re.compile(r"\s+([,.…])")
+_PARTICLES = frozenset("de du des la le les d l van von der den di da y et".split())
 _LEAD = re.compile(rf"^\s*(?:{TIME.pattern}|{SIGNS.pattern}|{BRACKETED.pattern}|{FILLERS.pattern}[\s.,…]*|[…,;])\s*", re.X | re.I)
 _WORD = re.compile(r"\w")
 _SEPARATOR = re.compile(r"\s*(?:\.\s*[–—]|[–—](?=\s)|\s-\s|\s?:(?=\s|$))\s*")
 
 _CHAIR = re.compile(r"^(?:(?:m|mme|monsieur|madame) )?(?:le|la) president(?:e)?(?: de (?:la )?seance)?$")
-_COLLECTIVE = re.compile(
-    r"^(?:des|un|une|plusieurs|quelques|certains|divers|de (?:tres )?nombreu(?:x|ses))(?: autres?)? (?:deputee?s?|voix|membres?|orateurs?|senateurs?)"
-    r"(?: (?:sur|a|de|du|des|dans)(?: (?:plusieurs|divers|les|la|l|nos|tous|certains))*(?: (?:bancs?|groupes?|gauche|droite|centre|opposition|majorite|salle|tribunes))+(?: (?:du|des|de|la|l|groupes?|opposition|majorite|et|[a-z]{2,6}))*)*$"
-)
+_SOME = frozenset("des un une plusieurs quelques certains divers".split())
+_SPEAKERS = re.compile(r"deputee?s?|voix|membres?|orateurs?|senateurs?")
+_WHERE = frozenset("sur a de du des dans".split())
+_WHICH = frozenset("plusieurs divers les la l nos tous certains".split())
+_BENCHES = re.compile(r"bancs?|groupes?|gauche|droite|centre|opposition|majorite|salle|tribunes")
+_WHOSE = re.compile(r"l|groupes?|opposition|majorite|[a-z]{2,6}")
 _CIVILITIES = {"monsieur": "m", "madame": "f", "mademoiselle": "f", "mlle": "f"}
 _ROLE = re.compile(r"^(?:co |vice |premiere? |deuxieme |ancienne? )*(?:rapporteur|president|ministre|depute|secretaire|questeur|garde|charge|membre|au nom|auteur|orateur|senateur|doyen|commissaire|suppleant)")
 #: String similarity from which two spellings may name one person.
@@ -62,6 +69,45 @@ def has_words(text: str) -> bool:
     return bool(_WORD.search(bare)) and not STANDING.match(bare)
 
 
+def clean(text: str) -> str:
+    """What is said: without time marks, signs, stage directions and fillers, single-spaced; ``''`` without a word."""
+    if not has_words(text):
+        return ""
+    said = _PAUSE.sub(" ", BRACKETED.sub(" ", SIGNS.sub(" ", TIME.sub(" ", text))))
+    said = _BEFORE_STOP.sub(r"\1", " ".join(said.split()))
+    return said.lstrip(" ,.…–—-").rstrip(" ,–—-")
+
+
+def is_collective(plain: str) -> bool:
+    """Whether a folded label names several people or nobody in particular: *some* *speakers*, and perhaps on which benches."""
+    words = plain.split()
+    at = 1 if words and words[0] in _SOME else 0
+    if not at and words[:1] == ["de"]:
+        at = 2 if words[1:2] == ["tres"] else 1
+        if words[at : at + 1] not in (["nombreux"], ["nombreuses"]):
+            return False
+        at += 1
+    if not at:
+        return False
+    at += words[at : at + 1] in (["autre"], ["autres"])
+    if at == len(words) or not _SPEAKERS.fullmatch(words[at]):
+        return False
+    states = {"end"}  # end: a phrase may begin; which: before its benches; benches: after one; whose: after more
+    for w in words[at + 1 :]:
+        after = set()
+        for x in states:
+            if x != "which" and w in _WHERE:
+                after.add("which")
+            if x == "which" and w in _WHICH:
+                after.add("which")
+            if x in ("which", "benches") and _BENCHES.fullmatch(w):
+                after.add("benches")
+            if x in ("benches", "whose") and _WHOSE.fullmatch(w):
+                after.add("whose")
+        states = after
+    return bool(states - {"which"})
+
+
 def civility_of(word: str) -> str | None:
     """``m`` or ``f`` of a civility in any spelling, ``''`` where it could be both, None if it is none."""
     plain = fold(word).replace(" ", "")
@@ -84,11 +130,11 @@ def read_label(label: str) -> tuple[str, str, str, str, str] | None:
     more the order isn't known, so ``first`` and ``surname`` hold the label's order.
     """
     plain = fold(label)
-    if not plain or len(label) > 120:
+    if not plain:
         return None
     if _CHAIR.match(plain):
         return "chair", "", "", "", ""
-    if _COLLECTIVE.match(plain):
+    if is_collective(plain):
         return "collective", "", "", plain, ""
     group = ""
     if found := re.search(r"\(\s*([A-Za-z-]{2,12})\s*\)\s*$", label):
@@ -103,8 +149,8 @@ def read_label(label: str) -> tuple[str, str, str, str, str] | None:
         return None
     if not group and len(words) > 1 and re.fullmatch(r"[A-Z]{2,5}", words[-1]) and not all(w.isupper() for w in words[:-1]):
         group, words = words[-1], words[:-1]
-    if not 1 <= len(words) <= 5:
-        return None
+    if not words or len(words) > 5 and not all(w[:1].isupper() or fold(w) in _PARTICLES for w in words):
+        return None  # so many words are a sentence, unless all are names
     if not titled and not all(w[:1].isupper() for w in words):
         return None
     if any(re.search(r"\d", w) for w in words):
@@ -114,8 +160,8 @@ def read_label(label: str) -> tuple[str, str, str, str, str] | None:
     return kind, civility, " ".join(tokens[:-1]), tokens[-1], group
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    """Each line with its label, and whether words are left with and without a label at its head."""
+def _parsed(lines: DataFrame, kept: list[str]) -> DataFrame:
+    """Each line with its label, whether words are left with and without a label at its head, and where they begin after it; columns ``kept`` stay."""
 
     def one(speaker: str | None, raw: str | None) -> tuple:
         text = raw or ""
@@ -130,22 +176,51 @@ def _parsed(lines: DataFrame) -> DataFrame:
             if (found := read_label(head[: at.start()])) is not None:
                 label, kind, rest = head[: at.start()].strip(), found[0], head[at.end() :]
         own = (speaker or "").strip("   \t")
-        return own, label, kind, has_words(rest), has_words(text)
+        return own, label, kind, has_words(rest), has_words(text), len(text) - len(rest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [one(s if isinstance(s, str) else None, r if isinstance(r, str) else None) for s, r in zip(batch["speaker"], batch["raw_text"])]
-            out = pd.DataFrame(rows, columns=["own_label", "head_label", "head_kind", "words_after", "words_all"])
-            yield pd.concat([batch[["session_uid", "line_no", "acteur_id"]].reset_index(drop=True), out], axis=1)
+            out = pd.DataFrame(rows, columns=["own_label", "head_label", "head_kind", "words_after", "words_all", "head_size"])
+            yield pd.concat([batch[["session_uid", "line_no", "acteur_id", *kept]].reset_index(drop=True), out], axis=1)
 
-    return lines.mapInPandas(run, "session_uid string, line_no int, acteur_id string, own_label string, head_label string, head_kind string, words_after boolean, words_all boolean")
+    return lines.mapInPandas(run, "session_uid string, line_no int, acteur_id string, " + "".join(f"{c} string, " for c in kept) + "own_label string, head_label string, head_kind string, words_after boolean, words_all boolean, head_size int")
 
 
 # --- who speaks ------------------------------------------------------------------
 
 
 def _near(a: str, b: str) -> float:
-    return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 1.0 if a == b else _ratio(a, b)
+
+
+@lru_cache(maxsize=200_000)
+def _ratio(a: str, b: str) -> float:
+    if 2 * min(len(a), len(b)) < 0.7 * (len(a) + len(b)):  # below every bound that is asked for
+        return 0.0
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+class _Surnames:
+    """Who may fit a name: two names of similarity SIMILAR or more are equal or share a pair of letters in a row.
+
+    (Of two such names with s letters together, 0.42 s or more stand in common runs, of which there are at most
+    0.16 s + 1, so one run has two letters.)
+    """
+
+    def __init__(self) -> None:
+        self.held: dict[str, list[int]] = defaultdict(list)
+
+    @staticmethod
+    def blocks(name: str) -> set[str]:
+        return {f"={name}", *(name[i : i + 2] for i in range(len(name) - 1))}
+
+    def add(self, number: int, name: str) -> None:
+        for b in self.blocks(name):
+            self.held[b].append(number)
+
+    def like(self, *names: str) -> list[int]:
+        return sorted({i for name in names if name for b in self.blocks(name) for i in self.held.get(b, ())})
 
 
 class _People:
@@ -260,12 +335,14 @@ def resolve_labels(labels: list[tuple[str, str, int]], known: list[tuple[str, st
                     break
     # similar names of persons in the transcript, best fit first
     present = [people[pid] for pid in person_node if pid in people]
-    fits = []
+    fits, surnames = [], _Surnames()
+    for i, p in enumerate(present):
+        surnames.add(i, p[3])
     for label in order:
         if label not in node or finder.person[finder.find(node[label])]:
             continue
         kind, civility, first, surname, group = read[label]
-        for p in present:
+        for p in (present[i] for i in surnames.like(first, surname)):
             if civility and p[1] and p[1] != civility:
                 continue
             least = SIMILAR if kind == "person" else 0.88
@@ -276,16 +353,21 @@ def resolve_labels(labels: list[tuple[str, str, int]], known: list[tuple[str, st
             finder.unite(person_node[pid], node[label])
     # variants of one name whose person isn't known yet: by initials and similarity
     loose = [x for x in order if x in node and not finder.person[finder.find(node[x])] and (read[x][0] == "person" or x in exact)]
+    surnames = _Surnames()
     for i, a in enumerate(loose):
-        for b in loose[:i]:
+        for b in (loose[j] for j in surnames.like(read[a][2], read[a][3])):
             if _names_fit(read[a][2], read[a][3], read[b][2], read[b][3]) >= SIMILAR:
                 finder.unite(node[a], node[b])
+        surnames.add(i, read[a][3])
     # a surname that only one known person has
+    surnames = _Surnames()
+    for i, p in enumerate(known):
+        surnames.add(i, p[3])
     for label in order:
         if label not in node or finder.person[finder.find(node[label])]:
             continue
         kind, civility, first, surname, _ = read[label]
-        fit = [p for p in known if (not civility or not p[1] or p[1] == civility) and _names_fit(first, surname, p[2], p[3]) >= 0.98]
+        fit = [p for p in (known[i] for i in surnames.like(first, surname)) if (not civility or not p[1] or p[1] == civility) and _names_fit(first, surname, p[2], p[3]) >= 0.98]
         if kind == "person" and len(fit) == 1:
             finder.unite(person(fit[0][0]), node[label])
     names = {}
@@ -352,7 +434,8 @@ def _turns(batch: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tupl
     """Turns of one sorted batch; ``state``: sitting, speaker and number of the open turn."""
     session, speaker, number = state if state is not None else (None, None, 0)
     out: list[list] = []
-    for uid, line, who in zip(batch["session_uid"], batch["line_no"], batch["who"]):
+    texts = batch["text"] if "text" in batch else [None] * len(batch)
+    for uid, line, who, text in zip(batch["session_uid"], batch["line_no"], batch["who"], texts):
         if uid != session:
             session, speaker, number = uid, None, 0
         if who is None and number == 0:
@@ -361,13 +444,22 @@ def _turns(batch: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tupl
             speaker, number = who, number + 1
         if out and out[-1][0] == uid and out[-1][1] == number:
             out[-1][4] = line
+            out[-1][5].append(text)
         else:
-            out.append([uid, number, speaker, line, line])
-    return pd.DataFrame(out, columns=["session_uid", "turn_no", "who", "first_line", "last_line"]), (session, speaker, number)
+            out.append([uid, number, speaker, line, line, [text]])
+    found = pd.DataFrame(out, columns=["session_uid", "turn_no", "who", "first_line", "last_line", "text"])
+    if "text" in batch:
+        found["text"] = [" ".join(x) for x in found["text"]]
+    else:
+        found = found.drop(columns="text")
+    return found, (session, speaker, number)
+
 
+def turns(lines: DataFrame, politicians: DataFrame, text: bool = True) -> DataFrame:
+    """``session_uid``, ``turn_no``, ``acteur_id``, ``first_line``, ``last_line``, ``text`` of every turn.
 
-def turns(lines: DataFrame, politicians: DataFrame) -> DataFrame:
-    """``session_uid``, ``turn_no``, ``acteur_id``, ``first_line``, ``last_line`` of every turn.
+    ``text`` is what is said in the turn (see :func:`clean`), lines joined by spaces; with ``text=False`` it
+    is neither carried nor returned.
 
     Repeated lines (same sitting and number) count once. A line without sitting or
     number has no place and is left out. Lines without a spoken word count for
@@ -376,19 +468,20 @@ def turns(lines: DataFrame, politicians: DataFrame) -> DataFrame:
     before any speaker are a turn of nobody, with ``acteur_id`` ``''``, as have the chair, a
     collective and a person that isn't known. Extra columns are ignored.
 
-    Labels of a transcript are clustered by union-find; lines are range-sorted and
-    turns numbered with carried state, so a transcript of any length is spread.
+    Labels of a transcript are clustered by union-find, names compared only within blocks of equal pairs of letters; a
+    task gets the distinct labels of a transcript, however many lines bear them. Lines are range-sorted and turns
+    numbered with carried state, so a transcript of any length is spread.
     """
     placed = lines.where("session_uid is not null and line_no is not null").select("session_uid", F.col("line_no").cast("int").alias("line_no"), "speaker", "acteur_id", "raw_text")
     once = placed.groupBy("session_uid", "line_no").agg(F.max(F.struct(F.coalesce("raw_text", F.lit("")).alias("raw_text"), "speaker", "acteur_id")).alias("_r")).select("session_uid", "line_no", "_r.*")
-    parsed = checkpoint(_parsed(once))
+    parsed = checkpoint(_parsed(once, ["raw_text"] if text else []))
     who = checkpoint(_speakers(parsed, politicians))
     own = who.select("session_uid", F.col("label").alias("own_label"), F.col("who").alias("own_who"))
     head = who.select("session_uid", F.col("label").alias("head_label"), F.col("who").alias("head_who"))
     joined = parsed.join(own, ["session_uid", "own_label"], "left").join(head, ["session_uid", "head_label"], "left")
     given = F.when(F.trim("acteur_id") != "", F.concat(F.lit("P"), F.trim("acteur_id")))
     spoken = F.when(F.col("head_who").isNotNull(), F.col("words_after")).otherwise(F.col("words_all"))
-    said = joined.where(spoken).select("session_uid", "line_no", F.coalesce(given, "own_who", "head_who").alias("who"))
+    said = joined.where(spoken).select("session_uid", "line_no", F.coalesce(given, "own_who", "head_who").alias("who"), *([F.expr("substring(raw_text, if(head_who is null, 0, head_size) + 1)").alias("text")] if text else []))
 
     def summary(batches: Iterator[pd.DataFrame]) -> dict | None:
         state, head_uid, first_who, opened = None, None, None, False
@@ -414,11 +507,11 @@ def turns(lines: DataFrame, politicians: DataFrame) -> DataFrame:
 
     def rescan(batches: Iterator[pd.DataFrame], state: tuple | None) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, state = _turns(batch, state)
+            out, state = _turns(batch.assign(text=batch["text"].map(clean)) if text else batch, state)
             yield out
 
     ordered = range_sorted(said, ["session_uid", "line_no"])
-    pieces = carry_scan(ordered, summary, "_head string, _lead string, _nobody boolean, _uid string, _who string, _number int", combine, rescan, "session_uid string, turn_no int, who string, first_line int, last_line int")
-    whole = pieces.groupBy("session_uid", "turn_no").agg(F.max("who").alias("who"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
-    acteur = F.when(F.col("who").startswith("P"), F.substring("who", 2, 1_000)).otherwise("")
-    return whole.select("session_uid", "turn_no", acteur.alias("acteur_id"), "first_line", "last_line")
+    pieces = carry_scan(ordered, summary, "_head string, _lead string, _nobody boolean, _uid string, _who string, _number int", combine, rescan, "session_uid string, turn_no int, who string, first_line int, last_line int" + ", text string" * text)
+    whole = pieces.groupBy("session_uid", "turn_no").agg(F.max("who").alias("who"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), *([F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "text"))), lambda x: x["text"]), " ").alias("text")] if text else []))
+    acteur = F.when(F.col("who").startswith("P"), F.expr("substring(who, 2)")).otherwise("")
+    return whole.select("session_uid", "turn_no", acteur.alias("acteur_id"), "first_line", "last_line", *(["text"] if text else []))

@@ -56,7 +56,9 @@ LINES = [
 def test_turns(spark):
     people = spark.createDataFrame([("P1", "Mme Ana Brun"), ("P2", "M. Luc Brun"), (None, "M. Sans Id")], "acteur_id string, full_name string")
     lines = spark.createDataFrame(LINES, "session_uid string, line_no int, speaker string, acteur_id string, raw_text string").withColumnRenamed("x", "who")
-    found = [tuple(r) for r in t.turns(lines, people).orderBy("session_uid", "turn_no").collect()]
+    rows = t.turns(lines, people).orderBy("session_uid", "turn_no").collect()
+    assert [r["text"] for r in rows] == ["Bonjour.", "La séance est ouverte.", "Je commence. Je continue. Soyons clairs : je finis.", "Je réponds.", "Ah !", "Encore.", "Là."]
+    found = [tuple(r) for r in t.turns(lines, people, text=False).orderBy("session_uid", "turn_no").collect()]
     assert found == [("S1", 1, "", 1, 1), ("S1", 2, "", 2, 2), ("S1", 3, "P1", 3, 6), ("S1", 4, "P2", 7, 7), ("S1", 5, "", 9, 9), ("S1", 6, "P2", 10, 10), ("S2", 1, "P2", 2, 2)]
 
 
@@ -71,9 +73,41 @@ def test_a_long_sitting_spans_partitions(spark):
             want.append(["S", len(want) + 1, now, i, i])
         last, want[-1][4] = now, i
     lines = spark.createDataFrame(rows, "session_uid string, line_no int, speaker string, acteur_id string, raw_text string")
-    assert [list(r) for r in t.turns(lines, people).orderBy("turn_no").collect()] == want
+    assert [list(r) for r in t.turns(lines, people, text=False).orderBy("turn_no").collect()] == want
 
 
 def test_empty(spark):
     lines = spark.createDataFrame([], "session_uid string, line_no int, speaker string, acteur_id string, raw_text string")
     assert t.turns(lines, spark.createDataFrame([], "acteur_id string, full_name string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "said"),
+    [
+        ("[00:05:53] Notre groupe euh, a déposé 31 amendements.", "Notre groupe a déposé 31 amendements."), ("avant hein les données. [8:09]", "avant les données."), ("en (Sourires.) circuit court", "en circuit court"),
+        ("Ben Salem parle, ben oui.", "Ben Salem parle oui."), ("Euh….", ""), ("", ""), ("(Rires.)", ""), ("T+00:04:44 Non !", "Non !"), ("juger pas <toux> un texte", "juger pas un texte"),
+    ],
+)
+def test_clean(text, said):
+    assert t.clean(text) == said
+
+
+def test_labels_of_any_length():
+    found = t.read_label("M. Jean-Pierre de la Tour du Pin Gouvernet Chabot")
+    assert found[0] == "person" and found[3] == "chabot"
+    long = "Mme Ana Brun, secrétaire d'État auprès du ministre " + "de la mer et des lacs, chargée de la pêche " * 5
+    assert len(long) > 120 and t.read_label(long)[0] == "person"
+    assert t.read_label("Des députés du groupe " + "abc " * 200)[0] == "collective"
+    assert t.read_label("Nous disons que la mer est belle et grande") is None
+
+
+def test_blocks_lose_no_similar_name():
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeil") for _ in range(rng.randrange(1, 9))) for _ in range(250)]
+    held = t._Surnames()
+    for i, n in enumerate(names):
+        held.add(i, n)
+    for n in names:
+        assert {i for i, m in enumerate(names) if t._near(n, m) >= t.SIMILAR} <= set(held.like(n))
