@@ -87,9 +87,9 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 
     Method: hierarchical residual packing. Each partition packs its items by best
     fit and emits bins filled to ``NEARLY_FULL``; underfull bins are the items of
-    the next round, over a quarter of the partitions, until one is left or a round
-    merges too little to go on. A bin carries its members' names only, as many at most as
-    the capacity.
+    the next round, over a quarter of the partitions (or as many as keep a task to ``TASK_ITEMS``, which
+    then get other neighbours), for as many rounds as a tree over the first partitions has levels, whatever the
+    size of the input. A bin carries its members' names only, as many at most as the capacity.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -103,24 +103,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
         F.array(F.struct(F.col(key), F.col("piece_no"), first.alias("first_unit"), F.least(F.col("_size") - first, F.lit(capacity)).alias("units"))).alias("members"),
     )
     rows = checkpoint(named)
-    count = rows.count()
-    width = max(shuffle_partitions(spark), math.ceil(count / TASK_ITEMS))
-    rows = rows.repartition(width, F.xxhash64("members"))
+    width = max(shuffle_partitions(spark), math.ceil(rows.count() / TASK_ITEMS))
+    levels = 1 + math.ceil(math.log(width, FAN_IN))  # those of a tree over the partitions
     done: list[DataFrame] = []
-    level = 0
-    while True:
-        bins = checkpoint(_packed(rows, capacity, level))
+    for level in range(levels):
+        bins = checkpoint(_packed(rows.repartition(width, F.xxhash64("members", F.lit(level))), capacity, level))
         full = F.col("size") >= math.ceil(NEARLY_FULL * capacity)
         left = bins.where(~full)
         rest = left.count()
-        merged = count - rest
-        if width == 1 or rest == 0 or (level and merged < 0.001 * count and rest > TASK_ITEMS):
+        if rest == 0 or level == levels - 1:
             done.append(bins)
             break
         done.append(bins.where(full))
-        count, level = rest, level + 1
         width = max(1, math.ceil(width / FAN_IN), math.ceil(rest / TASK_ITEMS))
-        rows = left.select("size", "members").repartition(width, F.xxhash64("members"))
+        rows = left.select("size", "members")
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
