@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,16 +22,27 @@ def peer_ranks(df: DataFrame, value: str, pool: list[str]) -> DataFrame:
     return df.join(placed, [*pool, value], "left")
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """The value at ``round(share * (n - 1))`` of the sorted values: a decile test over small pools."""
-    held = F.array_sort(F.collect_list(values))
-    return F.element_at(held, F.floor(F.lit(share) * (F.size(held) - 1) + 0.5).cast("int") + 1)
+def nearest(share: float) -> Callable[[Column], Column]:
+    """The place ``round(share * (n - 1))`` among n sorted values, from 0: a decile test over small pools."""
+    return lambda n: F.floor(F.lit(share) * (n - 1) + 0.5)
 
 
-def floor_rank(values: str, share: float) -> Column:
-    """The value at ``floor(share * n)`` of the sorted values."""
-    held = F.array_sort(F.collect_list(values))
-    return F.element_at(held, F.least(F.floor(F.lit(share) * F.size(held)).cast("int"), F.size(held) - 1) + 1)
+def floored(share: float) -> Callable[[Column], Column]:
+    """The place ``floor(share * n)`` among n sorted values, from 0, the last at most."""
+    return lambda n: F.least(F.floor(F.lit(share) * n), n - 1)
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each group the values at some places of its sorted values, as columns named by ``places``; nulls don't count.
+
+    Equal values are counted before the shuffle; a group's distinct values are then passed in order with a
+    running count, never held together.
+    """
+    w = Window.partitionBy(*keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counted.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    at = {name: F.min(F.when((place(F.col("_all")) < F.col("_to")), F.col(value))) for name, place in places.items()}
+    return placed.groupBy(*keys).agg(*[c.alias(name) for name, c in at.items()])
 
 
 def largest_remainder(df: DataFrame, keys: list[str], weight: str, seats: str, order: str, name: str = "allotted") -> DataFrame:
@@ -85,34 +96,30 @@ def greedy_diverse(df: DataFrame, group: str, kinds: list[str], order: list[str]
     return best.groupBy(group).applyInPandas(pick, f"{fields}, pick int")
 
 
-def merged_phrases(df: DataFrame, group: str, phrase: str, count: str, size: str, k: int) -> DataFrame:
-    """Phrases of a group without overlaps: a longer phrase replaces one within it if used half as often.
+def merged_phrases(df: DataFrame, group: str, phrase: str, count: str, size: str, k: int, share: float = 0.5) -> DataFrame:
+    """A group's ``k`` best phrases of which none stands within another (``pick`` from 1).
 
-    The input should hold each group's best phrases only; at most ``k`` are kept.
+    Of a phrase and a longer one that holds it, the longer stands if it is used at least ``share`` times as often, else the
+    shorter. A phrase stays if it stands against each that it meets so. Phrases meet by equality with the spans of
+    words within the longer one, not in pairs.
     """
-
-    def within(a: str, b: str) -> bool:
-        return f" {a} " in f" {b} "
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        best: list[dict] = []
-        for row in rows.sort_values([count, size, phrase], ascending=[False, False, True], kind="stable").to_dict("records"):
-            rival = next((i for i, kept in enumerate(best) if within(row[phrase], kept[phrase]) or within(kept[phrase], row[phrase])), None)
-            if rival is None and len(best) < k:
-                best.append(row)
-            elif rival is not None and row[size] > best[rival][size] and 2 * row[count] >= best[rival][count]:
-                best[rival] = row
-        free = [r for r in best if not any(o is not r and o[size] > r[size] and within(r[phrase], o[phrase]) for o in best)]
-        return pd.DataFrame(free, columns=rows.columns).assign(pick=range(1, len(free) + 1))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(group).applyInPandas(merge, f"{fields}, pick int")
+    words = F.split(phrase, " ")
+    starts = F.sequence(F.lit(1), F.size("_w"))
+    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size("_w") - i + 1), lambda n: F.array_join(F.slice("_w", i, n), " "))))
+    inner = df.withColumn("_w", words).select(F.col(group), F.col(phrase).alias("_long"), F.col(count).alias("_c"), F.explode(F.array_distinct(spans)).alias(phrase)).where(F.col(phrase) != F.col("_long"))
+    met = inner.join(df.select(group, phrase, F.col(count).alias("_s")), [group, phrase])
+    lost = met.select(group, F.when(F.col("_c") >= share * F.col("_s"), F.col(phrase)).otherwise(F.col("_long")).alias(phrase)).distinct()
+    free = df.join(lost, [group, phrase], "left_anti")
+    order = Window.partitionBy(group).orderBy(F.desc(count), F.desc(size), F.asc(phrase))
+    return free.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= k)
 
 
 def one_to_one(df: DataFrame, a: str, b: str, score: str) -> Iterator[tuple]:
-    """Pairs best first, each ``a`` and each ``b`` once. For small label tables only: it runs on the driver."""
+    """Pairs best first, each ``a`` and each ``b`` once. It runs on the driver, for tables of labels: more than 100,000 pairs are refused."""
     used_a, used_b = set(), set()
-    for row in df.orderBy(F.desc(score), a, b).limit(100_000).toLocalIterator():
+    if df.limit(100_001).count() > 100_000:
+        raise ValueError("too many pairs for the driver")
+    for row in df.orderBy(F.desc(score), a, b).toLocalIterator():
         if row[a] not in used_a and row[b] not in used_b:
             used_a.add(row[a])
             used_b.add(row[b])

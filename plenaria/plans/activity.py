@@ -192,9 +192,9 @@ def x6_centroids(spark, sf_dir):
     scored = normed.join(F.broadcast(centre), "label")  # one vector for each label
     cosine = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     rated = scored.select("vec_id", "label", F.round(cosine, 6).alias("cosine"))
-    from plenaria.operators.ranks import floor_rank
+    from plenaria.operators.ranks import floored, values_at
 
-    least = rated.groupBy("label").agg(floor_rank("cosine", 0.1).alias("_t"))
+    least = values_at(rated, ["label"], "cosine", {"_t": floored(0.1)})
     return rated.join(least, "label").select("vec_id", "label", "cosine", (F.col("cosine") >= F.greatest(F.lit(0.05), F.col("_t"))).cast("int").alias("kept"))
 
 

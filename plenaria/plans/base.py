@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from plenaria.functions.text import tokens, words_only
 from plenaria.plans.history import day_sql
-from plenaria.sources.tables import day, table
+from plenaria.sources.tables import day, last_delivered, table
 
 
 def said(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Speeches once each, with clean group and day; ``more`` names further columns.
+    """Speeches once each, as delivered last, with clean group and day; ``more`` names further columns.
 
-    Deliveries of one speech agree in all but their load time, so the grouping keys are the columns themselves.
+    Only the keys that came again, with their last load time, are joined: texts aren't shuffled. Deliveries
+    of one load time agree, so any stands for all.
     """
-    df = table(spark, sf_dir, "speeches", "sid", "pid", "party", "speech_date", "session_uid", *more)
-    once = df.where("sid is not null").dropDuplicates(["sid"])
+    df = table(spark, sf_dir, "speeches", "sid", "pid", "party", "speech_date", "session_uid", "loaded_at", *more)
+    once = last_delivered(df.where("sid is not null"), "sid", "loaded_at").drop("loaded_at")
     return once.withColumn("party", F.upper(F.trim(F.coalesce("party", F.lit(""))))).withColumn("day", day("speech_date")).withColumn("month", F.date_format("day", "yyyy-MM")).drop("speech_date")
 
 

@@ -175,7 +175,7 @@ def r14_groups_in_order(spark, sf_dir):
 def w5_deciles(spark, sf_dir):
     """People in the top decile of their group by interruptions for each sitting, pools of five or more."""
     own = v6_chamber(spark, sf_dir).join(people(spark, sf_dir).select("pid", "party"), "pid").withColumn("rate", F.round(F.col("interruptions") / F.col("sittings"), 9))
-    edge = own.groupBy("party").agg(ranks.nearest_rank("rate", 0.9).alias("_e"), F.count(F.lit(1)).alias("pool"))
+    edge = ranks.values_at(own, ["party"], "rate", {"_e": ranks.nearest(0.9)}).join(own.groupBy("party").agg(F.count(F.lit(1)).alias("pool")), "party")
     return own.join(edge, "party").where("pool >= 5 and rate >= _e").select("pid", "party", "rate", "pool")
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Rows up to which a dimension may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of all their values together, up to which they may be.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -27,6 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="plenaria-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
@@ -54,10 +60,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint only where it is proven to have at most ``limit`` rows.
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    sizes = F.lit(0)
+    for field in df.schema.fields:
+        own = F.col(f"`{field.name}`")
+        kind = field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size = F.octet_length(own)
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            size = F.octet_length(F.to_json(F.struct(own)))
+        else:
+            size = F.lit(8)
+        sizes = sizes + F.coalesce(size, F.lit(0))
+    return sizes.cast("long")
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint only where it is proven to have at most ``limit`` rows and ``most_bytes``.
 
     The proof reads ``limit + 1`` rows at most. A larger side is returned without
     a hint: the join then shuffles, and adaptive execution splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    found = df.select(_bytes(df).alias("b")).limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= limit and found["b"] <= most_bytes else df

@@ -199,13 +199,24 @@ def write_texts(df: DataFrame, path: str, key: str, order: list[str], text: str)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], separator: str = ",", excel: bool = False) -> None:
-    """Columns in a fixed order with a header; ``excel`` writes ``;``, CRLF and quotes, with a mark of UTF-8 on the header's first cell."""
+    """Columns in a fixed order with a header; ``excel`` writes ``;``, CRLF and quotes, each file with a mark of UTF-8 before its header."""
     out = df.select(*columns)
-    if excel:
-        out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
-        out.write.mode("overwrite").option("header", True).option("sep", ";").option("lineSep", "\n").option("quoteAll", True).csv(path)
-    else:
+    if not excel:
         out.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+        return
+
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    cells = [quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns]
+    header = "\ufeff" + ";".join('"' + c.replace('"', '""') + '"' for c in columns) + "\r"
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    rows = out.select(F.concat(F.concat_ws(";", *cells), F.lit("\r")).alias("value"))  # the writer adds the line feed
+    rows.mapInPandas(headed, "value string").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def bundle(parts: dict[str, DataFrame], limit: int = 10_000) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenaria.session import broadcast_if_small, checkpoint
+
 #: Tables that a directory may hold.
 NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -38,12 +40,16 @@ def end_day(column: str | Column) -> Column:
     return F.when(found < F.lit("9999-12-31").cast("date"), found)
 
 
-def latest_delivery(df: DataFrame, key: str = "sid", order: str = "loaded_at") -> DataFrame:
-    """One row per ``key``: the latest by ``order``.
+def last_delivered(df: DataFrame, key: str, loaded: str) -> DataFrame:
+    """Rows as delivered last, one for each ``key``; keys that came once pass by without a shuffle of the row.
 
-    Deliveries of one record agree in all but their load time, so any is whole;
-    a group-by with ``max_by`` combines before the shuffle, unlike a window.
+    Of the keys that came again only the rows of the last load are kept; should that hold a key more than once, one of
+    them stands, by the least hash of all columns.
     """
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.coalesce(F.col(order), F.lit("1970-01-01").cast("timestamp"))).alias("_r"))
-    return picked.select(key, *[F.col("_r")[c].alias(c) for c in rest])
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(loaded).alias("_last")).where("_n > 1").drop("_n")
+    marked = df.join(broadcast_if_small(checkpoint(again).withColumn("_again", F.lit(True))), key, "left")
+    single = marked.where("_again is null").select(*df.columns)
+    several = marked.where(F.col("_again") & F.col(loaded).eqNullSafe(F.col("_last")))
+    picked = several.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r"))
+    return single.unionByName(picked.select(key, *[F.col("_r")[c].alias(c) for c in rest]))

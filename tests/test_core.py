@@ -103,8 +103,9 @@ def test_peer_ranks_and_quantiles(spark):
     df = spark.createDataFrame([("p", 1.0), ("p", 1.0), ("p", 3.0), ("q", 2.0), ("p", None)], "g string, v double")
     out = {(r["g"], r["v"]): (r["lower"], r["higher"], r["pool"]) for r in ranks.peer_ranks(df, "v", ["g"]).collect()}
     assert out["p", 1.0] == (0, 1, 3) and out["p", 3.0] == (2, 0, 3) and out["q", 2.0] == (None, None, 1) and out["p", None] == (None, None, None)
-    ten = spark.range(1, 11)
-    assert ten.agg(ranks.nearest_rank("id", 0.9), ranks.floor_rank("id", 0.1), ranks.floor_rank("id", 1.0)).first() == (9, 2, 10)
+    ten = spark.createDataFrame([("g", i) for i in range(1, 11)] + [("h", 5), ("h", 5), ("h", 7), ("h", None), ("n", None)], "g string, v int")
+    out = {r["g"]: (r["a"], r["b"], r["c"]) for r in ranks.values_at(ten, ["g"], "v", {"a": ranks.nearest(0.9), "b": ranks.floored(0.1), "c": ranks.floored(1.0)}).collect()}
+    assert out == {"g": (9, 2, 10), "h": (7, 5, 7)}
 
 
 def test_greedy_picks(spark):
@@ -193,10 +194,6 @@ def test_sequential_readings():
     assert book.title_themes("soins palliatifs maires") == ["a", "c"]
     filler = " mot" * 12
     assert set(book.text_themes("soins palliatifs soins palliatifs maires maires maires loi loi loi" + filler)) == {"a"}
-    assert speech.ON_BILLS.read("Nous voterons contre ce texte.")[0] == "defavorable" and speech.ON_BILLS.read("Mon groupe votera ce projet de loi.")[0] == "favorable"
-    assert speech.ON_BILLS.read("Si rien ne change, nous voterons contre ce texte.") is None and speech.ON_BILLS.read("Nous voterons ce texte. Je voterai contre ce texte.") is None
-    found = speech.reactions("Applaudissements sur les bancs du groupe A. – Huées à l'adresse des députés du groupe B. – Les députés du groupe C protestent", {"A": "A", "B": "B", "C": "C"})
-    assert found["applause"].groups == {"A"} and found["protest"].groups == {"C"}
     names = speech.NameBook([(1, "Mme", "Ana", "Brunet"), (2, "M.", "Luc", "Brunet"), (3, "M.", "Guy", "Noir"), (4, "M.", "Paul", "Noir")])
     assert set(names.mentions("Mme Brunet et M. Brunet, comme Guy Noir, mais pas M. Noir.", 2)) == {1, 3}
     assert len(speech.aligned("Éà-ç")) == 4
