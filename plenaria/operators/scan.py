@@ -72,3 +72,24 @@ def carry_scan(
         yield from rescan(again(), carried.get(int(head[PART].iloc[0])))
 
     return ordered.mapInPandas(run, schema)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in ``order`` over all partitions, from 1; only counts of partitions go to the driver."""
+    ordered = range_sorted(df, order)
+    counted = ordered.groupBy(PART).count().collect()
+    before, total = {}, 0
+    for part, n in sorted(counted):
+        before[part] = total
+        total += n
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
+        for batch in batches:
+            if len(batch):
+                at = before[int(batch[PART].iloc[0])] if at is None else at
+                yield batch.drop(columns=PART).assign(**{name: range(at + 1, at + 1 + len(batch))})
+                at += len(batch)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ordered.mapInPandas(run, f"{fields}, `{name}` bigint")

@@ -31,7 +31,7 @@ def a6_person_month(spark, sf_dir):
     return uses.where("pid is not null").join(months, "sid").groupBy("pid", "n", "month", "gid").agg(F.sum("uses").alias("count"), F.countDistinct("session_uid").alias("sittings"))
 
 
-def a7_party_phrases(spark, sf_dir):
+def a7party_phrases(spark, sf_dir):
     """Bigrams by group with uses and distinct sittings."""
     grams = _grams(spark, sf_dir, (2,)).where("party <> ''")
     return grams.groupBy("party", "ngram").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_uid").alias("sittings")).where("count >= 3")
@@ -79,18 +79,20 @@ def a11_party_activity(spark, sf_dir):
     return own.where("words >= 500")
 
 
-def _party_phrases(spark, sf_dir, n: int = 2):
+def party_phrases(spark, sf_dir, n: int = 2):
+    """Counts of each group's phrases, its total, and the phrases that the corpus holds five times."""
     own = spoken(spark, sf_dir).where("party <> ''")
     grams = facts.exploded_ngrams(own, "tokens", (n,), ["party", "session_uid"])
     counts = grams.groupBy("party", "n", "ngram").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_uid").alias("sittings"))
     totals = facts.ngram_totals(own, "tokens", (n,), ["party"])
-    corpus = facts.pruned_counts(grams, 5)
+    every = counts.groupBy("n", "ngram").agg(F.sum("count").alias("total"))  # from the counts, not from the text again
+    corpus = every.where("total >= 5").join(F.broadcast(every.groupBy("n").agg(F.sum("total").alias("corpus"))), "n")  # one row for each size
     return counts, totals, corpus
 
 
 def x2_distinctive_phrases(spark, sf_dir):
     """Each group's 25 most distinctive bigrams by log-odds with a Dirichlet prior."""
-    scored = lexical.distinctive(*_party_phrases(spark, sf_dir), "party", least_sittings=3)
+    scored = lexical.distinctive(*party_phrases(spark, sf_dir), "party", least_sittings=3)
     best = top_k(scored, ["party"], [F.desc(F.round("z", 9)), F.asc("ngram")], 25)
     stable = (F.col("count") >= 10) & (F.col("rest") >= 20)
     return best.select("party", "rank_no", "ngram", "count", "rest", F.round("z", 6).alias("z"), F.when(stable, F.round("ratio", 6)).alias("ratio"))
@@ -98,7 +100,7 @@ def x2_distinctive_phrases(spark, sf_dir):
 
 def x3_smoothed_ratio(spark, sf_dir):
     """Each group's ten bigrams with the highest smoothed log ratio."""
-    counts, totals, _ = _party_phrases(spark, sf_dir)
+    counts, totals, _ = party_phrases(spark, sf_dir)
     every = counts.groupBy("ngram").agg(F.sum("count").alias("_all"))
     size, whole = every.count(), totals.agg(F.sum("total")).first()[0] or 0
     own = counts.where("count >= 3").join(every, "ngram").join(totals.select("party", "total"), "party")
@@ -184,7 +186,7 @@ _ALL = {
     "a5_ngram_counts": (a5_ngram_counts, _GRAMS + """, c AS (SELECT n, ngram, count(*) AS total FROM grams GROUP BY ALL), w AS (SELECT n, sum(total)::BIGINT AS corpus FROM c GROUP BY n)
         SELECT n, ngram, total, corpus FROM c JOIN w USING (n) WHERE total >= 5"""),
     "a6_person_month": (a6_person_month, f"WITH {SAID}, {_ONCE} SELECT o.pid, n, month, gid, sum(uses)::BIGINT AS count, count(DISTINCT o.session_uid) AS sittings FROM once o JOIN said USING (sid) WHERE o.pid IS NOT NULL GROUP BY ALL"),
-    "a7_party_phrases": (a7_party_phrases, _TWO + "SELECT party, ngram, count(*) AS count, count(DISTINCT session_uid) AS sittings FROM grams WHERE party <> '' GROUP BY ALL HAVING count(*) >= 3"),
+    "a7party_phrases": (a7party_phrases, _TWO + "SELECT party, ngram, count(*) AS count, count(DISTINCT session_uid) AS sittings FROM grams WHERE party <> '' GROUP BY ALL HAVING count(*) >= 3"),
     "a8_totals": (a8_totals, f"WITH {SPOKEN} SELECT party, month, n, sum(greatest(len(tokens) - n + 1, 0))::BIGINT AS total FROM spoken, (VALUES (1), (2), (3)) v(n) GROUP BY ALL"),
     "a9_style": (a9_style, f"""WITH {SPOKEN}, wide AS (SELECT pid, party, month, len(tokens) AS words, {_STYLE_SQL} FROM spoken)
         SELECT pid, NULL AS party, month, 1 AS grain, {_SUMS} FROM wide GROUP BY pid, month
