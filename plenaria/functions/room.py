@@ -128,7 +128,7 @@ def reactions(direction: str, groups: dict[str, str]) -> dict[str, Reaction]:
             if labels:
                 held.groups |= {groups[x] for x in labels.findall(who)}
             held.every_bench |= "tous les bancs" in plain
-            held.unnamed_benches |= any(f"{few} bancs" in plain and not re.search(rf"{few} bancs d(?:u|es) groupe", plain) for few in ("divers", "nombreux", "plusieurs", "quelques"))
+            held.unnamed_benches |= any(f"{few} bancs" in plain and not re.search(rf"{few} bancs d(?:u|es) groupe", plain) for few in ("divers", "nombreux", "plusieurs"))
             if clause not in held.detail:
                 held.detail.append(clause)
     return out

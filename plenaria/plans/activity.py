@@ -24,7 +24,7 @@ def z2_windows(spark, sf_dir):
 def z3_interactions(spark, sf_dir):
     """Events that cost their user one: views are types with their JSON value, interactions days."""
     own = table(spark, sf_dir, "events").withColumn("view", F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))).withColumn("interaction", F.date_format("ts", "yyyy-MM-dd HH"))
-    found = state.counted_once(own.select("event_id", "user_id", "ts", "view", "interaction"), "user_id", "interaction", "view", "ts", "event_id", 1800, 4)
+    found = state.counted_once(own.select("event_id", "user_id", "ts", "view", "interaction"), "user_id", "interaction", "view", "ts", "event_id", 30, 4)
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum("counted").alias("counted"))
 
 
@@ -216,6 +216,15 @@ def f6_like(spark, sf_dir):
 
 from plenaria.plans.base import fold_sql  # noqa: E402
 
+def _percent_sql() -> str:
+    shown = lambda p: f"(floor(pct * {10**p} + 0.5) / {10**p})"
+    text = lambda v, p: f"replace(regexp_replace(regexp_replace(printf('%.{p}f', {v}), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), '.', ',') || ' %'"
+    cases = " ".join(f"WHEN NOT ((pct < 100 AND {shown(p)} >= 100) OR (pct > 0 AND {shown(p)} <= 0)) THEN {text(shown(p), p)}" for p in (1, 2, 3))
+    return f"""WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY o_orderpriority) * 100 AS pct FROM c)
+        SELECT o_orderpriority, o_orderstatus, CASE {cases} ELSE {text(f"CASE WHEN {shown(3)} >= 100 THEN 99.999 ELSE 0.001 END", 3)} END AS text FROM s"""
+
+
+_PERCENT = _percent_sql()
 _ALL = {
     "z1_counters": (z1_counters, "SELECT user_id, event_type, count(*) AS hits, max(ts) AS last FROM events GROUP BY ALL"),
     "z2_windows": (z2_windows, """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
@@ -249,7 +258,7 @@ _ALL = {
     "o3_collated": (o3_collated, """WITH p AS (SELECT regexp_replace(full_name, '^(M\\.|Mme)\\s+', '') AS name, party FROM politicians WHERE party <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY lower(strip_accents(name)), name)::INTEGER AS rank_no FROM p) SELECT * FROM r WHERE rank_no <= 5"""),
     "o4_unions": (o4_unions, "WITH a AS (SELECT c_nationkey AS nation FROM customer), b AS (SELECT s_nationkey AS nation FROM supplier) SELECT nation, count(*) AS members FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE nation IN (SELECT nation FROM a INTERSECT SELECT nation FROM b) GROUP BY 1"),
     "o8_first_wins": (o8_first_wins, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM r WHERE r = 1"),
-    "t26_percent": (t26_percent, None),
+    "t26_percent": (t26_percent, _PERCENT),
     "x6_centroids": (x6_centroids, """WITH n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings), x AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM n),
         m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1), s AS (SELECT vec_id, label, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 6) AS cosine FROM n JOIN c USING (label)),
         t AS (SELECT label, list_sort(list(cosine)) AS l FROM s GROUP BY 1) SELECT vec_id, label, cosine, (cosine >= greatest(0.05, l[least(floor(0.1 * len(l))::INT, len(l) - 1) + 1]))::INT AS kept FROM s JOIN t USING (label)"""),

@@ -49,12 +49,12 @@ def w4_quantiles(spark, sf_dir):
 
 
 def w8_favourites(spark, sf_dir):
-    """Lines that a person repeats: twice in two sittings, at twice the rate of everyone else; five at most."""
+    """Lines that a person repeats: three times in three sittings, at twice the rate of everyone else; five at most."""
     own = asides(spark, sf_dir).where("record_type = 'interruption' and acteur_id <> '' and norm <> ''")
     mine = own.groupBy("acteur_id", "norm").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_uid").alias("sittings"), F.max(F.struct("day", "aside_id", "quote"))["quote"].alias("quote"))
     total, every = own.groupBy("acteur_id").agg(F.count(F.lit(1)).alias("_mine")), own.groupBy("norm").agg(F.count(F.lit(1)).alias("_line"))
     whole = own.count()
-    joined = mine.where("count >= 2 and sittings >= 2").join(total, "acteur_id").join(every, "norm").withColumn("rest", F.col("_line") - F.col("count"))
+    joined = mine.where("count >= 3 and sittings >= 3").join(total, "acteur_id").join(every, "norm").withColumn("rest", F.col("_line") - F.col("count"))
     often = (F.col("rest") == 0) | (F.col("count") / F.col("_mine") >= 2 * F.try_divide(F.col("rest"), F.lit(whole) - F.col("_mine")))
     return top_k(joined.where(often).select("acteur_id", "norm", "count", "sittings", "rest", "quote"), ["acteur_id"], [F.desc("count"), F.desc("sittings"), F.asc("quote")], 5)
 
@@ -280,6 +280,16 @@ _STANDING = f"""m AS (SELECT acteur_id, s, e FROM (SELECT acteur_id, {day_sql("s
 row_number() OVER (PARTITION BY acteur_id, coalesce(party, ''), {day_sql("start_date")} ORDER BY {day_sql("known_on")} DESC NULLS LAST, coalesce({day_sql("end_date")}, DATE '9999-12-31') DESC) AS r FROM memberships) WHERE r = 1 AND s IS NOT NULL)"""
 _NBSP = "  "
 
+def _greedy_sql() -> str:
+    """Six picks of each sitting, one after the other, each the best that shares nothing with those before."""
+    steps = [f"""WITH {SAID}, o AS (SELECT session_uid, party, pid, -words AS order_words, sid FROM said WHERE pid IS NOT NULL AND words IS NOT NULL), p0 AS (SELECT *, 0 AS pick FROM o WHERE false)"""]
+    for k in range(1, 7):
+        steps.append(f"""p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT session_uid, party, pid, order_words, sid, {k} FROM (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY order_words, sid) AS r FROM o
+        WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} q WHERE q.session_uid = o.session_uid AND (q.party = o.party OR q.pid = o.pid))) WHERE r = 1)""")
+    return ", ".join(steps) + " SELECT * FROM p6"
+
+
+_GREEDY = _greedy_sql()
 _ALL = {
     "v6_chamber": (v6_chamber, _CHAMBER + "SELECT * FROM chamber"),
     "w2_peer_ranks": (w2_peer_ranks, _CHAMBER + """, r AS (SELECT pid, coalesce(party, '') AS party, round(interruptions / sittings, 9) AS rate FROM chamber JOIN politicians USING (pid) WHERE sittings >= 3),
@@ -290,7 +300,7 @@ _ALL = {
     "w4_quantiles": (w4_quantiles, f"""WITH {SAID}, l AS (SELECT party, list_sort(list(words::BIGINT)) AS v, median(words) AS median, quantile_cont(words, 0.9) AS q, avg(words) AS mean FROM said WHERE party <> '' AND words IS NOT NULL GROUP BY party)
         SELECT party, median::DOUBLE AS median, v[floor(0.9 * (len(v) - 1) + 0.5)::INT + 1] AS nearest, round(q, 9) AS interpolated, v[least(floor(0.1 * len(v))::INT, len(v) - 1) + 1] AS floor, round(mean, 9) AS mean FROM l"""),
     "w8_favourites": (w8_favourites, f"""WITH {ASIDES}, own AS (SELECT * FROM aside WHERE record_type = 'interruption' AND acteur_id <> '' AND norm <> ''), t AS (SELECT count(*) AS whole FROM own), a AS (SELECT acteur_id, count(*) AS mine FROM own GROUP BY 1), l AS (SELECT norm, count(*) AS line FROM own GROUP BY 1),
-        c AS (SELECT acteur_id, norm, count(*) AS count, count(DISTINCT session_uid) AS sittings, arg_max(quote, (coalesce(day, DATE '0001-01-01'), aside_id)) AS quote FROM own GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT session_uid) >= 2),
+        c AS (SELECT acteur_id, norm, count(*) AS count, count(DISTINCT session_uid) AS sittings, arg_max(quote, (coalesce(day, DATE '0001-01-01'), aside_id)) AS quote FROM own GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT session_uid) >= 3),
         j AS (SELECT c.*, line - count AS rest, mine, whole FROM c JOIN a USING (acteur_id) JOIN l USING (norm), t),
         r AS (SELECT acteur_id, norm, count, sittings, rest, quote, row_number() OVER (PARTITION BY acteur_id ORDER BY count DESC, sittings DESC, quote)::INTEGER AS rank_no FROM j WHERE rest = 0 OR count / mine >= 2 * (rest / (whole - mine)))
         SELECT * FROM r WHERE rank_no <= 5"""),
@@ -299,7 +309,7 @@ _ALL = {
         c AS (SELECT acteur_id, aside_id, norm, camps::INTEGER AS camps, row_number() OVER (PARTITION BY acteur_id ORDER BY r)::INTEGER AS rank_no FROM b WHERE o = 1 AND len(string_split(norm, ' ')) >= 6) SELECT * FROM c WHERE rank_no <= 3"""),
     "w10_diverse": (w10_diverse, f"""WITH {SAID}, own AS (SELECT debate_title, party, sid, day, words FROM said WHERE debate_title <> '' AND words >= 80), a AS (SELECT *, row_number() OVER (PARTITION BY debate_title, party ORDER BY day DESC, sid) AS w FROM own),
         b AS (SELECT debate_title, party, sid, day, words, row_number() OVER (PARTITION BY debate_title ORDER BY (w > 1)::INT, day DESC, sid)::INTEGER AS pick FROM a) SELECT * FROM b WHERE pick <= 6"""),
-    "w11_greedy": (w11_greedy, None),
+    "w11_greedy": (w11_greedy, _GREEDY),
     "w13_leaders": (w13_leaders, _CHAMBER + """, o AS (SELECT pid, sittings, interruptions, round(interruptions / sittings, 9) AS per_sitting FROM chamber WHERE interruptions > 0)
         (SELECT 'sitting' AS list, * FROM o ORDER BY per_sitting DESC, interruptions DESC, pid LIMIT 10) UNION ALL (SELECT 'total', * FROM o ORDER BY interruptions DESC, per_sitting DESC, pid LIMIT 10)"""),
     "w18_remainder": (w18_remainder, """WITH c AS (SELECT department, constituency_no, count(*) AS mandates FROM seats WHERE department <> '' AND constituency_no IS NOT NULL GROUP BY ALL),

@@ -209,7 +209,9 @@ _ALL = {
         d AS (SELECT ngram, count(*) AS df FROM c GROUP BY ngram), t AS (SELECT pid, sum(count) AS total FROM c GROUP BY pid), o AS (SELECT count(*) AS n FROM t),
         s AS (SELECT c.pid, ngram, count, round(count / total * (ln((1 + n - 1) / (1 + df - 1)) + 1), 9) AS tfidf FROM c JOIN d USING (ngram) JOIN t ON t.pid = c.pid, o WHERE count >= 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tfidf DESC, ngram)::INTEGER AS rank_no FROM s) SELECT * FROM r WHERE rank_no <= 5"""),
-    "w12_signature": (w12_signature, None),
+    "w12_signature": (w12_signature, f"""WITH {SPOKEN}, {grams_sql((2, 3, 4), "party")}, c AS (SELECT party, n, ngram, count(*) AS count FROM grams WHERE party <> '' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY party, n ORDER BY count DESC, ngram) AS r FROM c), t AS (SELECT party, n, ngram, count FROM b WHERE r <= 25),
+        m AS (SELECT s.party, CASE WHEN l.count >= 0.5 * s.count THEN s.ngram ELSE l.ngram END AS ngram FROM t s JOIN t l ON l.party = s.party AND l.n > s.n AND contains(' ' || l.ngram || ' ', ' ' || s.ngram || ' ')),
+        f AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.party = t.party AND m.ngram = t.ngram)), k AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY count DESC, n DESC, ngram)::INTEGER AS pick FROM f) SELECT * FROM k WHERE pick <= 15"""),
     "w14_rising": (w14_rising, _TWO + """, m AS (SELECT max(month) AS m FROM spoken), w AS (SELECT m, strftime((m || '-01')::DATE - INTERVAL 11 MONTH, '%Y-%m') AS a, strftime((m || '-01')::DATE - INTERVAL 23 MONTH, '%Y-%m') AS b,
         strftime((m || '-01')::DATE - INTERVAL 12 MONTH, '%Y-%m') AS c FROM m), g AS (SELECT ngram, sum((month BETWEEN a AND m)::INT) AS now, sum((month BETWEEN b AND c)::INT) AS previous FROM grams, w WHERE month BETWEEN b AND m GROUP BY ngram),
         t AS (SELECT sum(CASE WHEN month BETWEEN a AND m THEN greatest(len(tokens) - 1, 0) END) AS x, sum(CASE WHEN month BETWEEN b AND c THEN greatest(len(tokens) - 1, 0) END) AS y FROM spoken, w)

@@ -10,15 +10,18 @@ from plenaria.functions.periods import Period, presets
 from plenaria.functions.text import fold, paris_day, slug
 from plenaria.operators import lexical, lookups
 from plenaria.operators.attribution import attributed
+from plenaria.operators.ranks import peer_ranks
 from plenaria.operators.scan import numbered
 from plenaria.operators.topk import top_k
-from plenaria.plans.base import ASIDES, POSITIONS, SAID, asides, fold_sql, grams_sql, people, positions, said
-from plenaria.plans.base import SPOKEN as SPOKEN_SQL
+from plenaria.plans.base import ASIDES, POSITIONS, SAID, asides, fold_sql, people, positions, said
 from plenaria.plans.chamber import j7_next_aside_all, v6_chamber
 from plenaria.plans.chamber import SQL as CHAMBER_SQL
 from plenaria.plans.history import SQL as HISTORY_SQL
 from plenaria.plans.history import day_sql, p5_group_then
+from plenaria.plans.phrases import SQL as PHRASES_SQL
 from plenaria.plans.phrases import party_phrases
+from plenaria.plans.views import SQL as VIEWS_SQL
+from plenaria.plans.views import v10_wording
 from plenaria.sources.tables import day, table
 
 
@@ -140,9 +143,9 @@ def v14_dossiers(spark, sf_dir):
 
 
 def v11_agenda(spark, sf_dir):
-    """Sittings of the 31 days and motions of the 7 days from sixty days before the archive's end."""
+    """Sittings of the archive's last 31 days, and motions of the first 7 of them."""
     own = said(spark, sf_dir, "section_code", "debate_title")
-    today = F.lit(own.agg(F.date_sub(F.max("day"), 60)).first()[0]).cast("date")
+    today = F.lit(own.agg(F.date_sub(F.max("day"), 30)).first()[0]).cast("date")
     ahead = own.where(F.col("day").between(today, F.date_add(today, 30)))
     sittings = ahead.groupBy("day", "session_uid").agg(F.lit("sitting").alias("kind"), F.count(F.lit(1)).alias("items"))
     motions = ahead.where((F.col("section_code") == "MOTION") & (F.col("day") < F.date_add(today, 7))).groupBy("day", "session_uid").agg(F.lit("motion").alias("kind"), F.count(F.lit(1)).alias("items"))
@@ -192,8 +195,6 @@ def w20_places_in_rows(spark, sf_dir):
 def r18_rank_text(spark, sf_dir):
     """How each person's number of speeches stands among the group: as a share of the peers, or as a place among groups of fewer than ten."""
     own = v6_chamber(spark, sf_dir).join(people(spark, sf_dir).where("party <> ''").select("pid", "party"), "pid").select("pid", "party", "speeches")
-    from plenaria.operators.ranks import peer_ranks
-
     ranked = peer_ranks(own, "speeches", ["party"])
     share = F.floor(F.col("lower") * 100 / F.col("pool"))
     text = F.when(F.col("pool") < 10, F.concat((F.col("higher") + 1).cast("string"), F.lit(". of "), F.col("pool").cast("string"))).when(share >= 50, F.concat(F.lit("more than "), share.cast("string"), F.lit(" %"))).otherwise(F.concat(F.lit("less than "), F.floor(F.col("higher") * 100 / F.col("pool")).cast("string"), F.lit(" %")))
@@ -281,8 +282,6 @@ def x10_headlines(spark, sf_dir):
 
 def w16_sentences(spark, sf_dir):
     """What is said of a group's wording: twice or half as often and more, from half again on."""
-    from plenaria.plans.views import v10_wording
-
     ratio = F.col("ratio")
     text = F.when(ratio >= 1.5, F.concat_ws(" ", F.lit("more"), "key")).when(ratio <= 1 / 1.5, F.concat_ws(" ", F.lit("less"), "key")).otherwise(F.concat_ws(" ", F.lit("about as much"), "key"))
     return v10_wording(spark, sf_dir).select("party", "rank_no", text.alias("text"))
@@ -358,7 +357,7 @@ _ALL = {
     "v14_dossiers": (v14_dossiers, f"""WITH {SAID}, {_LAB}, o AS (SELECT *, {fold_sql("coalesce(dossier_title, '')")} AS t FROM said WHERE bill_number <> ''), b AS (SELECT bill_number, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, arg_min(sid, (day, sid)) AS first_sid, count(DISTINCT dossier_title) AS titles,
         min(CASE WHEN starts_with(t, 'projet de loi') THEN 'projet' WHEN starts_with(t, 'proposition de') THEN 'proposition' ELSE 'autre' END) AS kind, count(*) AS speeches FROM o GROUP BY 1), s AS (SELECT bill_number, string_agg(DISTINCT domain_id, ',' ORDER BY domain_id) AS subjects FROM o JOIN lab USING (sid) GROUP BY 1)
         SELECT b.*, coalesce(subjects, '') AS subjects FROM b LEFT JOIN s ON s.bill_number = b.bill_number"""),
-    "v11_agenda": (v11_agenda, f"""WITH {SAID}, t AS (SELECT max(day) - 60 AS today FROM said), a AS (SELECT said.*, today FROM said, t WHERE day BETWEEN today AND today + 30)
+    "v11_agenda": (v11_agenda, f"""WITH {SAID}, t AS (SELECT max(day) - 30 AS today FROM said), a AS (SELECT said.*, today FROM said, t WHERE day BETWEEN today AND today + 30)
         SELECT day::VARCHAR AS day, session_uid, 'sitting' AS kind, count(*) AS items FROM a GROUP BY ALL UNION ALL SELECT day::VARCHAR, session_uid, 'motion', count(*) FROM a WHERE section_code = 'MOTION' AND day < today + 7 GROUP BY ALL"""),
     "r3_inherited_groups": (r3_inherited_groups, f"""WITH {SAID}, o AS (SELECT sid, party, {_NAME("coalesce(s.speaker, '')")} AS name FROM said JOIN (SELECT sid, any_value(speaker) AS speaker FROM speeches GROUP BY sid) s USING (sid)), n AS (SELECT * FROM o WHERE name <> ''), u AS (SELECT name, min(party) AS inherited FROM n WHERE party <> '' GROUP BY 1 HAVING count(DISTINCT party) = 1)
         SELECT CASE WHEN party <> '' THEN 'stated' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'unknown' END AS status, coalesce(nullif(party, ''), inherited, '') AS "group", count(*) AS speeches FROM n LEFT JOIN u USING (name) GROUP BY ALL"""),
@@ -380,8 +379,8 @@ _ALL = {
     "v13_gaps": (v13_gaps, f"WITH {_LAGGED}, r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ballot DESC) AS r FROM lagged WHERE before <> position) SELECT person, ballot, ballot_before, before, position FROM r WHERE r = 1"),
     "a29_judged": (a29_judged, f"""WITH {SAID}, {_LAB}, {_KEYS}, l AS (SELECT sid, list(domain_id) AS l FROM lab GROUP BY 1), j AS (SELECT CASE WHEN sid % 2 = 0 THEN 'dev' ELSE 'holdout' END AS sample, list_contains(l, theme)::INT AS ok FROM longest JOIN l USING (sid))
         SELECT coalesce(sample, 'all') AS sample, count(*) AS judged, sum(ok)::BIGINT AS "right" FROM j GROUP BY ROLLUP (sample)"""),
-    "x10_headlines": (x10_headlines, None),
-    "w16_sentences": (w16_sentences, None),
+    "x10_headlines": (x10_headlines, PHRASES_SQL["x2_distinctive_phrases"].rsplit("SELECT party, rank_no", 1)[0] + "SELECT party, rank_no, ngram, CASE WHEN rest <= 5 * count OR ratio > 100 THEN 'counts' ELSE 'ratio' END AS form, rest = 0 AS exclusive FROM r WHERE rank_no <= 5"),
+    "w16_sentences": (w16_sentences, f"""WITH v AS ({VIEWS_SQL["v10_wording"]}) SELECT party, rank_no, CASE WHEN ratio >= 1.5 THEN 'more ' WHEN ratio <= 1 / 1.5 THEN 'less ' ELSE 'about as much ' END || key AS text FROM v"""),
     "q9_reactions": (q9_reactions, None),
     "q10_other_camps": (q10_other_camps, f"""WITH {ASIDES}, o AS (SELECT aside_id, coalesce(every_bench, 0) AS e, coalesce(unnamed_benches, 0) AS u, {_CASE.format("p.party")} AS own, list_distinct(list_filter(list_transform(coalesce(group_codes, []), lambda g: {_CASE.format("g")}), lambda c: c IS NOT NULL)) AS c FROM aside JOIN politicians p USING (acteur_id) WHERE record_type = 'reaction' AND acteur_id <> '')
         SELECT aside_id, (CASE WHEN own IS NULL THEN 0 WHEN e = 1 THEN {len(set(_CAMPS.values())) - 1} WHEN u = 1 THEN greatest(len(list_filter(c, lambda x: x <> own)), 1) ELSE len(list_filter(c, lambda x: x <> own)) END)::INTEGER AS camps FROM o"""),

@@ -9,7 +9,8 @@ from plenaria.functions import speech
 from plenaria.functions.text import fold, iso_week, paragraphs, rate_per_thousand, share_of, words_only
 from plenaria.operators import lookups, ranks, topics
 from plenaria.operators.topk import top_k
-from plenaria.plans.base import ASIDES, SAID, SPOKEN, asides, fold_sql, people, said, spoken
+from plenaria.plans.base import ASIDES, SAID, SPOKEN, asides, fold_sql, people, said, spoken, words_sql
+from plenaria.plans.chamber import SQL as CHAMBER_SQL
 from plenaria.plans.chamber import v6_chamber
 from plenaria.plans.history import day_sql
 from plenaria.sources.tables import day, end_day, table
@@ -98,7 +99,7 @@ def v10_wording(spark, sf_dir):
     every = Window.partitionBy("key")
     rated = long.withColumn("rate", rate_per_thousand("n", "words")).withColumn("chamber", rate_per_thousand(F.sum("n").over(every), F.sum("words").over(every)))
     ratio = F.col("rate") / F.col("chamber")
-    out = rated.where("words >= 500 and chamber > 0").withColumn("ratio", F.round(ratio, 9)).where((F.col("ratio") >= 1.05) | (F.col("ratio") <= 1 / 1.05))
+    out = rated.where("words >= 500 and chamber > 0").withColumn("ratio", F.round(ratio, 9)).where((F.col("ratio") >= 1.25) | (F.col("ratio") <= 1 / 1.25))
     return top_k(out.select("party", "key", F.round("rate", 9).alias("rate"), F.round("chamber", 9).alias("chamber"), "ratio"), ["party"], [F.desc(F.abs(F.ln(F.greatest("ratio", F.lit(1e-6))))), F.asc("key")], 3)
 
 
@@ -200,6 +201,14 @@ def a14_weekly_shares(spark, sf_dir):
     return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("domain_id", "week")), 9))
 
 
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_CLOSING = ("pas", "rien", "jamais", "aucun", "plus")
+_ADDRESS = f" (({'|'.join(speech.DEAR + speech.OWN)})  ({'|'.join(speech.COLLEAGUE)})|({'|'.join(speech.CIVILITY)})(  ({'|'.join(speech.ARTICLE)}))?  ({'|'.join(speech.TITLE)})) "
+_MARKERS = f"""WITH {ASIDES}, o AS (SELECT aside_id, string_split({words_sql("coalesce(quote, '')")}, ' ') AS w FROM aside), n AS (SELECT aside_id, w,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('ne', 'n') AND coalesce(list_transform(list_filter([i + 1, i + 2, i + 3, i + 4], lambda j: w[j] IN {_IN(_CLOSING)}), lambda j: w[j] <> 'plus' OR coalesce(w[j + 1], '') NOT IN {_IN(speech.COMPARATIVE)})[1], false)) AS pairs,
+        list_filter(range(1, len(w) + 1), lambda i: w[i] IN {_IN(speech.STANDALONE)} AND (i = 1 OR w[i - 1] NOT IN {_IN(speech.NOT_BEFORE_STANDALONE)})) AS alone FROM o)
+        SELECT aside_id, (len(pairs) + len(alone))::INTEGER AS negations, len(regexp_extract_all('  ' || array_to_string(w, '  ') || '  ', '{_ADDRESS}'))::INTEGER AS addresses,
+        CASE WHEN list_has_any(w, {list(speech.PROCEDURE)}) THEN 'procedure' WHEN list_has_any(w, {list(speech.STANCE)}) THEN 'stance' WHEN list_has_any(w, {list(speech.PRONOUN)}) THEN 'pronoun' END AS kind FROM n"""
 _LAB = "lab AS (SELECT DISTINCT sid, domain_id FROM topic_labels WHERE domain_id IS NOT NULL)"
 _ALL = {
     "v1_politicians": (v1_politicians, f"""WITH {SAID}, {_LAB}, own AS (SELECT * FROM said WHERE pid IS NOT NULL), t AS (SELECT sum(words) AS whole FROM own),
@@ -222,13 +231,13 @@ _ALL = {
     "v7_digest": (v7_digest, f"WITH {SAID}, l AS (SELECT max(day) AS d FROM said) SELECT pid, count(*) AS speeches, sum(words)::BIGINT AS words, max(day)::VARCHAR AS latest FROM said, l WHERE day > d - 90 AND pid IS NOT NULL GROUP BY pid"),
     "v10_wording": (v10_wording, f"WITH {SPOKEN}, w AS (SELECT party, sum(len(tokens)) AS words, " + ", ".join(f"sum(len(list_filter(tokens, lambda x: x IN ({', '.join(map(repr, ws))})))) AS k_{k}" for k, ws in _WORDING.items()) + " FROM spoken WHERE party <> '' GROUP BY party), l AS (" + " UNION ALL ".join(f"SELECT party, words, '{k}' AS key, k_{k} AS n FROM w" for k in _WORDING) + """),
         r AS (SELECT *, n * 1000.0 / words AS rate, sum(n) OVER (PARTITION BY key) * 1000.0 / sum(words) OVER (PARTITION BY key) AS chamber FROM l), s AS (SELECT party, key, round(rate, 9) AS rate, round(chamber, 9) AS chamber, round(rate / chamber, 9) AS ratio FROM r WHERE words >= 500 AND chamber > 0),
-        p AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY abs(ln(greatest(ratio, 1e-6))) DESC, key)::INTEGER AS rank_no FROM s WHERE ratio >= 1.05 OR ratio <= 1 / 1.05) SELECT * FROM p WHERE rank_no <= 3"""),
+        p AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY abs(ln(greatest(ratio, 1e-6))) DESC, key)::INTEGER AS rank_no FROM s WHERE ratio >= 1.25 OR ratio <= 1 / 1.25) SELECT * FROM p WHERE rank_no <= 3"""),
     "v17_people": (v17_people, f"""WITH {SAID}, a AS (SELECT pid, count(*) AS speeches FROM said WHERE pid IS NOT NULL GROUP BY pid), o AS (SELECT p.party, p.pid, regexp_extract(full_name, '(\\S+)$', 1) AS surname, coalesce(speeches, 0) AS speeches FROM politicians p LEFT JOIN a ON a.pid = p.pid WHERE party <> '')
         SELECT party, count(*) AS people, string_agg(surname || ':' || pid || ':' || speeches, ';' ORDER BY surname, pid) AS listed FROM o GROUP BY party"""),
     "v18_places": (v18_places, """WITH o AS (SELECT * FROM seats WHERE department <> ''), n AS (SELECT department_name, list(DISTINCT constituency_no) FILTER (constituency_no IS NOT NULL) AS l FROM o WHERE department_name <> '' GROUP BY 1),
         c AS (SELECT department, list(DISTINCT constituency_no) FILTER (constituency_no IS NOT NULL) AS m, max(department_name) AS department_name FROM o GROUP BY 1)
         SELECT department, c.department_name, coalesce(len(m), 0)::INTEGER AS own, len(list_distinct(list_concat(coalesce(m, []), coalesce(l, []))))::INTEGER AS inherited FROM c LEFT JOIN n ON n.department_name = c.department_name"""),
-    "q12_markers": (q12_markers, None),
+    "q12_markers": (q12_markers, _MARKERS),
     "q16_mentions": (q16_mentions, None),
     "q20_text_themes": (q20_text_themes, None),
     "t16_best_paragraph": (t16_best_paragraph, f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '') AS l FROM documents WHERE text IS NOT NULL),
@@ -240,7 +249,8 @@ _ALL = {
     "x8_topics": (x8_topics, None),
     "r14_groups_in_order": (r14_groups_in_order, f"""WITH {SAID}, w AS (SELECT party, sum(words)::BIGINT AS words FROM said WHERE party <> '' GROUP BY 1), m AS (SELECT party, count(*) AS members FROM politicians WHERE party <> '' GROUP BY 1)
         SELECT w.party, words, coalesce(members, 0) AS members, row_number() OVER (ORDER BY words DESC, w.party)::INTEGER AS place FROM w LEFT JOIN m ON m.party = w.party"""),
-    "w5_deciles": (w5_deciles, None),
+    "w5_deciles": (w5_deciles, CHAMBER_SQL["v6_chamber"].rsplit("SELECT * FROM chamber", 1)[0] + """, o AS (SELECT pid, coalesce(p.party, '') AS party, round(interruptions / sittings, 9) AS rate FROM chamber JOIN politicians p USING (pid)),
+        e AS (SELECT party, list_sort(list(rate)) AS v, count(*) AS pool FROM o GROUP BY 1) SELECT pid, o.party, rate, pool FROM o JOIN e ON e.party = o.party WHERE pool >= 5 AND rate >= v[floor(0.9 * (pool - 1) + 0.5)::INT + 1]"""),
     "r21_statuses": (r21_statuses, "SELECT coalesce(o_orderstatus, 'none') AS status, count(*) AS n, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "a17_censure": (a17_censure, """WITH c AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS members, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS signed FROM lineitem GROUP BY 1) SELECT *, CASE WHEN signed * 2 > members THEN 'pour' ELSE 'contre' END AS position FROM c"""),
     "a14_weekly_shares": (a14_weekly_shares, f"""WITH {SAID}, {_LAB}, c AS (SELECT domain_id, strftime(day, '%G-W%V') AS week, party, count(*) AS n FROM said JOIN lab USING (sid) WHERE party <> '' AND day IS NOT NULL GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY domain_id, week), 9) AS share FROM c"""),

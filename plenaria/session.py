@@ -43,17 +43,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, removed when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder: lineage is cut, and later passes read the columns they need.
 
     The table is removed when the application ends.
     """
-    spark = df.sparkSession
-    jvm, path = spark.sparkContext._jvm, f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
