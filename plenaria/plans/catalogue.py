@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenaria.plans import activity, ballots, chamber, formats, history, phrases, records, views
+from plenaria.plans import activity, ballots, chamber, composite, formats, history, phrases, records, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES: tuple = (history, phrases, ballots, chamber, activity, views, records, formats)
+MODULES: tuple = (history, phrases, ballots, chamber, activity, views, records, formats, composite)
 
 FLAGSHIP = "x3_smoothed_ratio"
 

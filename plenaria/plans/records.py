@@ -20,8 +20,7 @@ from plenaria.plans.history import SQL as HISTORY_SQL
 from plenaria.plans.history import day_sql, p5_group_then
 from plenaria.plans.phrases import SQL as PHRASES_SQL
 from plenaria.plans.phrases import party_phrases
-from plenaria.plans.views import SQL as VIEWS_SQL
-from plenaria.plans.views import v10_wording
+from plenaria.plans.views import WORDING_SQL, wording_rates
 from plenaria.sources.tables import day, table
 
 
@@ -281,10 +280,10 @@ def x10_headlines(spark, sf_dir):
 
 
 def w16_sentences(spark, sf_dir):
-    """What is said of a group's wording: twice or half as often and more, from half again on."""
+    """What is said of each kind of a group's wording against the chamber's: more or less from half again on."""
     ratio = F.col("ratio")
     text = F.when(ratio >= 1.5, F.concat_ws(" ", F.lit("more"), "key")).when(ratio <= 1 / 1.5, F.concat_ws(" ", F.lit("less"), "key")).otherwise(F.concat_ws(" ", F.lit("about as much"), "key"))
-    return v10_wording(spark, sf_dir).select("party", "rank_no", text.alias("text"))
+    return wording_rates(spark, sf_dir).select("party", "key", text.alias("text"))
 
 
 # --- readings -------------------------------------------------------------------------------------
@@ -380,7 +379,7 @@ _ALL = {
     "a29_judged": (a29_judged, f"""WITH {SAID}, {_LAB}, {_KEYS}, l AS (SELECT sid, list(domain_id) AS l FROM lab GROUP BY 1), j AS (SELECT CASE WHEN sid % 2 = 0 THEN 'dev' ELSE 'holdout' END AS sample, list_contains(l, theme)::INT AS ok FROM longest JOIN l USING (sid))
         SELECT coalesce(sample, 'all') AS sample, count(*) AS judged, sum(ok)::BIGINT AS "right" FROM j GROUP BY ROLLUP (sample)"""),
     "x10_headlines": (x10_headlines, PHRASES_SQL["x2_distinctive_phrases"].rsplit("SELECT party, rank_no", 1)[0] + "SELECT party, rank_no, ngram, CASE WHEN rest <= 5 * count OR ratio > 100 THEN 'counts' ELSE 'ratio' END AS form, rest = 0 AS exclusive FROM r WHERE rank_no <= 5"),
-    "w16_sentences": (w16_sentences, f"""WITH v AS ({VIEWS_SQL["v10_wording"]}) SELECT party, rank_no, CASE WHEN ratio >= 1.5 THEN 'more ' WHEN ratio <= 1 / 1.5 THEN 'less ' ELSE 'about as much ' END || key AS text FROM v"""),
+    "w16_sentences": (w16_sentences, WORDING_SQL + " SELECT party, key, CASE WHEN ratio >= 1.5 THEN 'more ' WHEN ratio <= 1 / 1.5 THEN 'less ' ELSE 'about as much ' END || key AS text FROM s"),
     "q9_reactions": (q9_reactions, None),
     "q10_other_camps": (q10_other_camps, f"""WITH {ASIDES}, o AS (SELECT aside_id, coalesce(every_bench, 0) AS e, coalesce(unnamed_benches, 0) AS u, {_CASE.format("p.party")} AS own, list_distinct(list_filter(list_transform(coalesce(group_codes, []), lambda g: {_CASE.format("g")}), lambda c: c IS NOT NULL)) AS c FROM aside JOIN politicians p USING (acteur_id) WHERE record_type = 'reaction' AND acteur_id <> '')
         SELECT aside_id, (CASE WHEN own IS NULL THEN 0 WHEN e = 1 THEN {len(set(_CAMPS.values())) - 1} WHEN u = 1 THEN greatest(len(list_filter(c, lambda x: x <> own)), 1) ELSE len(list_filter(c, lambda x: x <> own)) END)::INTEGER AS camps FROM o"""),

@@ -84,23 +84,37 @@ def v7_digest(spark, sf_dir):
     return own.where((F.col("day") > F.date_sub(F.lit(last).cast("date"), 90)) & F.col("pid").isNotNull()).groupBy("pid").agg(F.count(F.lit(1)).alias("speeches"), F.sum("words").alias("words"), F.max("day").cast("string").alias("latest"))
 
 
-_WORDING = {"je": ("je", "j"), "nous": ("nous",), "vous": ("vous",), "obligation": ("doit", "doivent", "devons", "devez", "faut")}
+_WORDING = {"je": ("je", "j"), "nous": ("nous",), "vous": ("vous",), "obligation": ("doit", "doivent", "devons", "devez", "faut"), "possibility": ("peut", "peuvent", "pouvons", "pouvez")}
+_MEASURES = (*_WORDING, "negation")
+#: From how far off the chamber's rate a group's wording stands out.
+STANDS_OUT = 1.25
 
 
-def v10_wording(spark, sf_dir):
-    """Rates of wording of each group against the chamber; those a quarter away from it, the largest gaps first."""
+def q11_style(spark, sf_dir):
+    """Words, and uses of six kinds of wording, by group; ``peut être`` is no possibility."""
     own = spoken(spark, sf_dir).where("party <> ''")
 
-    def uses(words):
-        return F.sum(F.size(F.filter("tokens", lambda t: t.isin(list(words)))))
+    def uses(key):
+        if key == "negation":
+            return F.sum(F.size(speech.negations(F.array_join("tokens", " "))))
+        words = F.array_remove(F.split(F.regexp_replace(F.concat_ws(" ", F.array_join("tokens", " ")), r"(?<=^| )peut (?:être|etre)(?= |$)", ""), " "), "") if key == "possibility" else F.col("tokens")
+        return F.sum(F.size(F.filter(words, lambda t: t.isin(list(_WORDING[key])))))
+
+    return own.groupBy("party").agg(F.sum(F.size("tokens")).alias("words"), *[uses(k).alias(k) for k in _MEASURES])
+
 
-    wide = own.groupBy("party").agg(F.sum(F.size("tokens")).alias("words"), *[uses(w).alias(k) for k, w in _WORDING.items()])
-    long = wide.select("party", "words", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in _WORDING])).alias("_m")).select("party", "words", "_m.*")
+def wording_rates(spark, sf_dir):
+    """Each group's rate of every kind of wording, the chamber's, and their ratio; groups of 500 words and more."""
+    long = q11_style(spark, sf_dir).select("party", "words", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in _MEASURES])).alias("_m")).select("party", "words", "_m.*")
     every = Window.partitionBy("key")
     rated = long.withColumn("rate", rate_per_thousand("n", "words")).withColumn("chamber", rate_per_thousand(F.sum("n").over(every), F.sum("words").over(every)))
-    ratio = F.col("rate") / F.col("chamber")
-    out = rated.where("words >= 500 and chamber > 0").withColumn("ratio", F.round(ratio, 9)).where((F.col("ratio") >= 1.25) | (F.col("ratio") <= 1 / 1.25))
-    return top_k(out.select("party", "key", F.round("rate", 9).alias("rate"), F.round("chamber", 9).alias("chamber"), "ratio"), ["party"], [F.desc(F.abs(F.ln(F.greatest("ratio", F.lit(1e-6))))), F.asc("key")], 3)
+    return rated.where("words >= 500 and chamber > 0").select("party", "key", F.round("rate", 9).alias("rate"), F.round("chamber", 9).alias("chamber"), F.round(F.col("rate") / F.col("chamber"), 9).alias("ratio"))
+
+
+def v10_wording(spark, sf_dir):
+    """Kinds of wording in which a group is a quarter off the chamber, the three largest gaps first."""
+    out = wording_rates(spark, sf_dir).where((F.col("ratio") >= STANDS_OUT) | (F.col("ratio") <= 1 / STANDS_OUT))
+    return top_k(out, ["party"], [F.desc(F.abs(F.ln(F.greatest("ratio", F.lit(1e-6))))), F.asc("key")], 3)
 
 
 def v17_people(spark, sf_dir):
@@ -204,9 +218,15 @@ def a14_weekly_shares(spark, sf_dir):
 _IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 _CLOSING = ("pas", "rien", "jamais", "aucun", "plus")
 _ADDRESS = f" (({'|'.join(speech.DEAR + speech.OWN)})  ({'|'.join(speech.COLLEAGUE)})|({'|'.join(speech.CIVILITY)})(  ({'|'.join(speech.ARTICLE)}))?  ({'|'.join(speech.TITLE)})) "
+_PAIRS = f"list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('ne', 'n') AND coalesce(list_transform(list_filter([i + 1, i + 2, i + 3, i + 4], lambda j: w[j] IN {_IN(_CLOSING)}), lambda j: w[j] <> 'plus' OR coalesce(w[j + 1], '') NOT IN {_IN(speech.COMPARATIVE)})[1], false))"
+_ALONE = f"list_filter(range(1, len(w) + 1), lambda i: w[i] IN {_IN(speech.STANDALONE)} AND (i = 1 OR w[i - 1] NOT IN {_IN(speech.NOT_BEFORE_STANDALONE)}))"
+_STYLE_SQL = f"WITH {SPOKEN}, o AS (SELECT party, tokens AS w FROM spoken WHERE party <> ''), w AS (SELECT party, sum(len(w))::BIGINT AS words, " + ", ".join(
+    f"sum(len(list_filter({'range(1, len(w) + 1)' if k == 'possibility' else 'w'}, lambda x: " + (f"w[x] IN {_IN(ws)} AND NOT (w[x] = 'peut' AND coalesce(w[x + 1], '') IN ('être', 'etre'))" if k == "possibility" else f"x IN {_IN(ws)}") + f")))::BIGINT AS {k}" for k, ws in _WORDING.items()
+) + f", sum(len({_PAIRS}) + len({_ALONE}))::BIGINT AS negation FROM o GROUP BY party) "
+WORDING_SQL = _STYLE_SQL + ", l AS (" + " UNION ALL ".join(f"SELECT party, words, '{k}' AS key, {k} AS n FROM w" for k in _MEASURES) + """),
+        r AS (SELECT *, n * 1000.0 / words AS rate, sum(n) OVER (PARTITION BY key) * 1000.0 / sum(words) OVER (PARTITION BY key) AS chamber FROM l), s AS (SELECT party, key, round(rate, 9) AS rate, round(chamber, 9) AS chamber, round(rate / chamber, 9) AS ratio FROM r WHERE words >= 500 AND chamber > 0)"""
 _MARKERS = f"""WITH {ASIDES}, o AS (SELECT aside_id, string_split({words_sql("coalesce(quote, '')")}, ' ') AS w FROM aside), n AS (SELECT aside_id, w,
-        list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('ne', 'n') AND coalesce(list_transform(list_filter([i + 1, i + 2, i + 3, i + 4], lambda j: w[j] IN {_IN(_CLOSING)}), lambda j: w[j] <> 'plus' OR coalesce(w[j + 1], '') NOT IN {_IN(speech.COMPARATIVE)})[1], false)) AS pairs,
-        list_filter(range(1, len(w) + 1), lambda i: w[i] IN {_IN(speech.STANDALONE)} AND (i = 1 OR w[i - 1] NOT IN {_IN(speech.NOT_BEFORE_STANDALONE)})) AS alone FROM o)
+        {_PAIRS} AS pairs, {_ALONE} AS alone FROM o)
         SELECT aside_id, (len(pairs) + len(alone))::INTEGER AS negations, len(regexp_extract_all('  ' || array_to_string(w, '  ') || '  ', '{_ADDRESS}'))::INTEGER AS addresses,
         CASE WHEN list_has_any(w, {list(speech.PROCEDURE)}) THEN 'procedure' WHEN list_has_any(w, {list(speech.STANCE)}) THEN 'stance' WHEN list_has_any(w, {list(speech.PRONOUN)}) THEN 'pronoun' END AS kind FROM n"""
 _LAB = "lab AS (SELECT DISTINCT sid, domain_id FROM topic_labels WHERE domain_id IS NOT NULL)"
@@ -229,9 +249,8 @@ _ALL = {
         c AS (SELECT pid, sum(CASE WHEN kind = 'applaudissement' THEN wide ELSE 0 END)::BIGINT AS a, sum((kind = 'protestation')::INT)::BIGINT AS b FROM own GROUP BY pid)
         (SELECT 'applauded' AS list, pid, a AS count FROM c WHERE a > 0 ORDER BY a DESC, pid LIMIT 10) UNION ALL (SELECT 'protested', pid, b FROM c WHERE b > 0 ORDER BY b DESC, pid LIMIT 10)"""),
     "v7_digest": (v7_digest, f"WITH {SAID}, l AS (SELECT max(day) AS d FROM said) SELECT pid, count(*) AS speeches, sum(words)::BIGINT AS words, max(day)::VARCHAR AS latest FROM said, l WHERE day > d - 90 AND pid IS NOT NULL GROUP BY pid"),
-    "v10_wording": (v10_wording, f"WITH {SPOKEN}, w AS (SELECT party, sum(len(tokens)) AS words, " + ", ".join(f"sum(len(list_filter(tokens, lambda x: x IN ({', '.join(map(repr, ws))})))) AS k_{k}" for k, ws in _WORDING.items()) + " FROM spoken WHERE party <> '' GROUP BY party), l AS (" + " UNION ALL ".join(f"SELECT party, words, '{k}' AS key, k_{k} AS n FROM w" for k in _WORDING) + """),
-        r AS (SELECT *, n * 1000.0 / words AS rate, sum(n) OVER (PARTITION BY key) * 1000.0 / sum(words) OVER (PARTITION BY key) AS chamber FROM l), s AS (SELECT party, key, round(rate, 9) AS rate, round(chamber, 9) AS chamber, round(rate / chamber, 9) AS ratio FROM r WHERE words >= 500 AND chamber > 0),
-        p AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY abs(ln(greatest(ratio, 1e-6))) DESC, key)::INTEGER AS rank_no FROM s WHERE ratio >= 1.25 OR ratio <= 1 / 1.25) SELECT * FROM p WHERE rank_no <= 3"""),
+    "q11_style": (q11_style, _STYLE_SQL + "SELECT * FROM w"),
+    "v10_wording": (v10_wording, WORDING_SQL + f""", p AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY abs(ln(greatest(ratio, 1e-6))) DESC, key)::INTEGER AS rank_no FROM s WHERE ratio >= {STANDS_OUT} OR ratio <= 1 / {STANDS_OUT}) SELECT * FROM p WHERE rank_no <= 3"""),
     "v17_people": (v17_people, f"""WITH {SAID}, a AS (SELECT pid, count(*) AS speeches FROM said WHERE pid IS NOT NULL GROUP BY pid), o AS (SELECT p.party, p.pid, regexp_extract(full_name, '(\\S+)$', 1) AS surname, coalesce(speeches, 0) AS speeches FROM politicians p LEFT JOIN a ON a.pid = p.pid WHERE party <> '')
         SELECT party, count(*) AS people, string_agg(surname || ':' || pid || ':' || speeches, ';' ORDER BY surname, pid) AS listed FROM o GROUP BY party"""),
     "v18_places": (v18_places, """WITH o AS (SELECT * FROM seats WHERE department <> ''), n AS (SELECT department_name, list(DISTINCT constituency_no) FILTER (constituency_no IS NOT NULL) AS l FROM o WHERE department_name <> '' GROUP BY 1),
