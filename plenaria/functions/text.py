@@ -197,3 +197,19 @@ def constituency(code: str | Column, aliases: dict[str, str] | None = None) -> C
     for old, new in (aliases or {}).items():
         dept = F.when(dept == old, new).otherwise(dept)
     return F.struct(dept.alias("department"), number.alias("number"))
+
+
+# What the agents of crawlers call themselves.
+CRAWLERS = ("bot", "crawl", "spider", "slurp", "preview", "headless", "monitor")
+
+
+def campaign(c: str | Column, limit: int = 40) -> Column:
+    """A campaign's name as it is counted: lower case, letters, digits, ``-`` and ``_`` only, cut to ``limit``; null without any."""
+    plain = F.substring(F.regexp_replace(without_accents(F.lower(_col(c))), r"[^a-z0-9_-]+", "-"), 1, limit)
+    return F.nullif(F.regexp_replace(plain, "^-+|-+$", ""), F.lit(""))
+
+
+def is_crawler(agent: str | Column) -> Column:
+    """Whether a user agent is a machine's; an empty one is."""
+    own = F.lower(F.coalesce(_col(agent), F.lit("")))
+    return (own == "") | own.rlike("|".join(CRAWLERS))

@@ -143,27 +143,26 @@ def s11_sqlite(spark, sf_dir):
     return spark.createDataFrame(read, "source string, share double, cap int")
 
 
-def s1_transcripts(spark, sf_dir):
-    """Speeches of each sitting as debate XML, read again by paragraphs and put together: characters by sitting.
-
-    Each speech is one point of the agenda, so it comes out as one speech again, without brackets and with single spaces.
-    """
+def write_transcripts(spark: SparkSession, sf_dir: str) -> str:
+    """Speeches of each sitting as a debate transcript in XML, one point of the agenda each; the pattern of the files."""
     own = said(spark, sf_dir, "content").where("session_uid is not null")
     words = F.regexp_replace(F.array_join(F.coalesce("content", F.array().cast("array<string>")), " "), r"[^\p{L}]+", " ")
     plain = own.select("session_uid", "sid", F.trim(words).alias("t")).where("t <> ''")
+    sid = F.col("sid").cast("string")
+    point = F.concat(
+        F.lit('<point nivpoint="1" id_syceron="'), sid, F.lit('"><texte>Point '), sid, F.lit('</texte></point><paragraphe code_grammaire="PAROLE_GENERIQUE" id_acteur="PA'), sid,
+        F.lit('"><orateurs><orateur><nom>Orateur '), sid, F.lit("</nom></orateur></orateurs><texte>"), F.col("t"), F.lit("</texte></paragraphe>"),
+    )
+    sheets = plain.groupBy("session_uid").agg(F.array_join(F.collect_list(point), "").alias("points"))  # a file is one sitting
+    head = F.concat(F.lit("<compteRendu><uid>"), F.col("session_uid"), F.lit("</uid><metadonnees><dateSeance>20240102150000000</dateSeance></metadonnees><contenu>"))
+    path = scratch(spark, "xml")
+    sheets.select(F.col("session_uid").alias("session"), F.concat(head, F.col("points"), F.lit("</contenu></compteRendu>")).alias("value")).write.partitionBy("session").text(path)
+    return f"{path}/*/*.txt"
 
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = "".join(
-            f'<point nivpoint="1" id_syceron="{sid}"><texte>Point {sid}</texte></point><paragraphe code_grammaire="PAROLE_GENERIQUE" id_acteur="PA{sid}"><orateurs><orateur><nom>Orateur {sid}</nom></orateur></orateurs><texte>{escape(t)}</texte></paragraphe>'
-            for sid, t in zip(rows["sid"], rows["t"])
-        )
-        xml = f"<compteRendu><uid>{key[0]}</uid><metadonnees><dateSeance>20240102150000000</dateSeance></metadonnees><contenu>{points}</contenu></compteRendu>"
-        return pd.DataFrame({"name": [f"{key[0]}.xml"], "xml": [xml]})
 
-    path = scratch(spark, "xml")
-    sheets = plain.groupBy("session_uid").applyInPandas(write, "name string, xml string")  # a file is one sitting
-    sheets.select(F.regexp_replace("name", r"\.xml$", "").alias("session"), F.col("xml").alias("value")).write.partitionBy("session").option("lineSep", "\n").text(path)
-    read = debates.speeches(debates.paragraphs(spark, f"{path}/*/*.txt"))
+def s1_transcripts(spark, sf_dir):
+    """Transcripts in XML, read by paragraphs and put together: speeches and characters by sitting."""
+    read = debates.speeches(debates.paragraphs(spark, write_transcripts(spark, sf_dir)))
     return read.groupBy("session_uid").agg(F.count(F.lit(1)).alias("speeches"), F.sum(F.length("text")).alias("signs"), F.min("day").cast("string").alias("day"))
 
 

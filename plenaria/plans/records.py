@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions import room, speech, stances
 from plenaria.functions.periods import Period, presets
-from plenaria.functions.text import fold, paris_day, slug
+from plenaria.functions.text import ACCENTED, BARE, CRAWLERS, campaign, fold, is_crawler, paris_day, slug
 from plenaria.operators import lexical, lookups
 from plenaria.operators.attribution import attributed
 from plenaria.operators.ranks import peer_ranks
@@ -21,7 +21,7 @@ from plenaria.plans.history import day_sql, p5_group_then
 from plenaria.plans.phrases import SQL as PHRASES_SQL
 from plenaria.plans.phrases import party_phrases
 from plenaria.plans.views import WORDING_SQL, wording_rates
-from plenaria.sources.tables import day, table
+from plenaria.sources.tables import day, end_day, table
 
 
 def _labels(spark, sf_dir):
@@ -328,6 +328,49 @@ def t25_days(spark, sf_dir):
     return own.groupBy(paris_day("published_at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def r10_first_deposits(spark, sf_dir):
+    """Where each bill first stands: day, group and section of the first speech on it."""
+    own = said(spark, sf_dir, "bill_number", "section_code").where("bill_number <> ''")
+    first = own.groupBy("bill_number").agg(F.min(F.struct("day", "sid", "party", F.coalesce("section_code", F.lit("")).alias("section"))).alias("_f"))
+    return first.select("bill_number", F.col("_f.day").cast("string").alias("day"), F.col("_f.party").alias("origin"), F.col("_f.section").alias("section"))
+
+
+def r11_meetings(spark, sf_dir):
+    """Each sitting with its day, number of titles, and the title of its first speech that has one."""
+    own = said(spark, sf_dir, "debate_title").where("session_uid is not null")
+    first = F.min(F.when(F.col("debate_title") != "", F.struct("sid", "debate_title")))["debate_title"]
+    return own.groupBy("session_uid").agg(F.min("day").cast("string").alias("day"), F.countDistinct(F.when(F.col("debate_title") != "", F.col("debate_title"))).alias("items"), first.alias("first_title"))
+
+
+def r12_main_section(spark, sf_dir):
+    """The section in which each bill is most debated."""
+    counted = said(spark, sf_dir, "bill_number", "section_code").where("bill_number <> '' and section_code <> ''").groupBy("bill_number", "section_code").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("bill_number").agg(F.min(F.struct((-F.col("n")).alias("n"), "section_code")).alias("_b"))
+    return best.select("bill_number", F.col("_b.section_code").alias("section"), (-F.col("_b.n")).alias("speeches"))
+
+
+def r24_sitting(spark, sf_dir):
+    """Sitting members by department: those with an open seat, and whether all have numbers of their own."""
+    open_ = table(spark, sf_dir, "seats").where(F.col("department").isNotNull() & (F.col("department") != "") & end_day("end_date").isNull() & day("start_date").isNotNull())
+    counted = open_.groupBy("department").agg(F.countDistinct("acteur_id").alias("members"), F.countDistinct("constituency_no").alias("numbers"))
+    return counted.withColumn("segment", F.when(F.col("members") == F.col("numbers"), "whole").when(F.col("members") > F.col("numbers"), "shared").otherwise("sparse"))
+
+
+def r30_attendance(spark, sf_dir):
+    """In each sitting, the persons that the speeches name, those that the raw lines name, and those in both."""
+    folk = people(spark, sf_dir).select("pid", "acteur_id")
+    spoke = said(spark, sf_dir).where("pid is not null and session_uid is not null").join(folk, "pid").select("session_uid", "acteur_id", F.lit(1).alias("s"), F.lit(0).alias("l"))
+    lines = table(spark, sf_dir, "transcript_lines", "session_uid", "acteur_id").where("session_uid is not null and acteur_id <> ''").select("session_uid", "acteur_id", F.lit(0).alias("s"), F.lit(1).alias("l"))
+    each = spoke.unionByName(lines).groupBy("session_uid", "acteur_id").agg(F.max("s").alias("s"), F.max("l").alias("l"))
+    return each.groupBy("session_uid").agg(F.sum("s").alias("in_speeches"), F.sum("l").alias("in_lines"), F.sum(F.col("s") * F.col("l")).alias("both"))
+
+
+def t29_sources(spark, sf_dir):
+    """Documents by cleaned source, machines apart."""
+    own = table(spark, sf_dir, "documents", "source")
+    return own.groupBy(campaign("source").alias("campaign"), is_crawler("source").alias("crawler")).agg(F.count(F.lit(1)).alias("documents"))
+
+
 _LAB = "lab AS (SELECT DISTINCT sid, domain_id FROM topic_labels WHERE sid IS NOT NULL AND domain_id IS NOT NULL)"
 _NAME = lambda c: f"regexp_replace({fold_sql(c)}, '^(monsieur|madame|m|mme|mm) ', '')"
 _KEYS = f"""keyed AS (SELECT domain_id, {fold_sql("k")} AS k FROM (SELECT domain_id, unnest(keywords) AS k FROM domains)),
@@ -385,6 +428,14 @@ _ALL = {
         SELECT aside_id, (CASE WHEN own IS NULL THEN 0 WHEN e = 1 THEN {len(set(_CAMPS.values())) - 1} WHEN u = 1 THEN greatest(len(list_filter(c, lambda x: x <> own)), 1) ELSE len(list_filter(c, lambda x: x <> own)) END)::INTEGER AS camps FROM o"""),
     "q21_stances": (q21_stances, None),
     "x7_attributions": (x7_attributions, None),
+    "r10_first_deposits": (r10_first_deposits, f"""WITH {SAID}, r AS (SELECT bill_number, day::VARCHAR AS day, party AS origin, coalesce(section_code, '') AS section, row_number() OVER (PARTITION BY bill_number ORDER BY day NULLS FIRST, sid) AS r FROM said WHERE bill_number <> '') SELECT * EXCLUDE (r) FROM r WHERE r = 1"""),
+    "r11_meetings": (r11_meetings, f"""WITH {SAID} SELECT session_uid, min(day)::VARCHAR AS day, count(DISTINCT nullif(debate_title, '')) AS items, arg_min(debate_title, sid) FILTER (debate_title <> '') AS first_title FROM said WHERE session_uid IS NOT NULL GROUP BY 1"""),
+    "r12_main_section": (r12_main_section, f"""WITH {SAID}, c AS (SELECT bill_number, section_code, count(*) AS n FROM said WHERE bill_number <> '' AND section_code <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY bill_number ORDER BY n DESC, section_code) AS r FROM c) SELECT bill_number, section_code AS section, n AS speeches FROM r WHERE r = 1"""),
+    "r24_sitting": (r24_sitting, f"""WITH c AS (SELECT department, count(DISTINCT acteur_id) AS members, count(DISTINCT constituency_no) AS numbers FROM seats WHERE department <> '' AND {day_sql("start_date")} IS NOT NULL AND coalesce({day_sql("end_date")}, DATE '9999-12-31') >= DATE '9999-12-31' GROUP BY 1)
+        SELECT *, CASE WHEN members = numbers THEN 'whole' WHEN members > numbers THEN 'shared' ELSE 'sparse' END AS segment FROM c"""),
+    "r30_attendance": (r30_attendance, f"""WITH {SAID}, u AS (SELECT session_uid, p.acteur_id, 1 AS s, 0 AS l FROM said JOIN politicians p USING (pid) WHERE session_uid IS NOT NULL UNION ALL SELECT session_uid, acteur_id, 0, 1 FROM transcript_lines WHERE session_uid IS NOT NULL AND acteur_id <> ''), e AS (SELECT session_uid, acteur_id, max(s) AS s, max(l) AS l FROM u GROUP BY ALL)
+        SELECT session_uid, sum(s)::BIGINT AS in_speeches, sum(l)::BIGINT AS in_lines, sum(s * l)::BIGINT AS both FROM e GROUP BY 1"""),
+    "t29_sources": (t29_sources, f"""SELECT nullif(regexp_replace(substring(regexp_replace(translate(lower(source), '{ACCENTED}', '{BARE}'), '[^a-z0-9_-]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g'), '') AS campaign, coalesce(source, '') = '' OR regexp_matches(lower(source), '{"|".join(CRAWLERS)}') AS crawler, count(*) AS documents FROM documents GROUP BY ALL"""),
     "t25_days": (t25_days, "SELECT strftime(timezone('Europe/Paris', published_at::TIMESTAMPTZ), '%Y-%m-%d') AS day, count(*) AS documents FROM documents WHERE published_at IS NOT NULL GROUP BY 1"),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
