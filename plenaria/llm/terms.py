@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenaria.operators.scan import numbered
 from plenaria.operators.skew import all_salts, hot_keys, salt
 from plenaria.operators.topk import top_k
-from plenaria.session import shuffle_partitions
+from plenaria.session import broadcast_if_small, checkpoint, shuffle_partitions
 
 
 def normal_term(text: str | None) -> str | None:
@@ -155,14 +156,17 @@ def top_terms(speech_ngrams: DataFrame, ngrams: DataFrame, k: int = 5) -> DataFr
     """``pid``, ``session_uid``, ``rank_no``, ``term``, ``uses``: each person's ``k`` most used terms in each sitting.
 
     Rows without person or sitting or with an unknown ``gid`` are left out, rows
-    delivered twice count once. One shuffle on ``gid`` serves the join and the
-    removal of repeats; sums combine before the second; the group limit prunes
+    delivered twice count once. Terms are numbered in code-point order first, so the shuffles carry
+    numbers whose order is that of the terms, and text is joined to the result only. One shuffle on ``gid``
+    serves the join and the removal of repeats; sums combine before the second; the group limit prunes
     before and after the third. Ties go to the smaller term in code-point order.
     """
     rows = speech_ngrams.where("pid is not null and session_uid is not null")
     keep = ["pid", "session_uid", "uses"]
-    found = with_terms(rows, vocabulary(ngrams), rows.count(), keep)
-    once = found.groupBy("gid", "_salt", "sid", "pid", "session_uid", "term").agg(F.max("uses").alias("uses"))
-    summed = once.groupBy("pid", "session_uid", "term").agg(F.sum("uses").alias("uses"))
-    best = top_k(summed, ["pid", "session_uid"], [F.desc_nulls_last("uses"), F.asc("term")], k)
-    return best.select("pid", "session_uid", "rank_no", "term", "uses")
+    words = checkpoint(vocabulary(ngrams))
+    terms = checkpoint(numbered(words.select("term").distinct(), ["term"], "term_no"))
+    found = with_terms(rows, words.join(terms, "term").select("gid", "term_no"), rows.count(), keep)
+    once = found.groupBy("gid", "_salt", "sid", "pid", "session_uid", "term_no").agg(F.max("uses").alias("uses"))
+    summed = once.groupBy("pid", "session_uid", "term_no").agg(F.sum("uses").alias("uses"))
+    best = top_k(summed, ["pid", "session_uid"], [F.desc_nulls_last("uses"), F.asc("term_no")], k)
+    return best.join(broadcast_if_small(terms), "term_no").select("pid", "session_uid", "rank_no", "term", "uses")

@@ -41,7 +41,12 @@ _PAUSE = re.compile(r"(?:,\s*)?\b(?:(?i:euh+|heu+|hum+|h+m+|mm+h*|mh+|bah|hein|b
 _BEFORE_STOP = re.compile(r"\s+([,.…])")
 _PARTICLES = frozenset("de du des la le les d l van von der den di da y et".split())
 _LEAD = re.compile(rf"^\s*(?:{TIME.pattern}|{SIGNS.pattern}|{BRACKETED.pattern}|{FILLERS.pattern}[\s.,…]*|[…,;])\s*", re.X | re.I)
-_WORD = re.compile(r"\w")
+_WORD, _WORDS = re.compile(r"\w"), re.compile(r"\w+")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_OTHER = re.compile("[^a-z0-9]+")
+#: What every mark, sign or bracketed direction holds, and how directions without brackets begin.
+_MARKED = re.compile(r"[\[(<*>♪♫:]|\d\s?h|^\s*[-–—]|[\u200b\ufeff]")
+_DIRECTION = re.compile(r"vifs|nombreu|quelques|longs|applau|exclam|rires|sourire|protest|murmure|hu[ée]es|brouhaha|mouvement|m[êe]mes|interrupt|plusieurs|les$|des$|de$|son$|micro|inaudible|toux", re.I)
 _SEPARATOR = re.compile(r"\s*(?:\.\s*[–—]|[–—](?=\s)|\s-\s|\s?:(?=\s|$))\s*")
 
 _CHAIR = re.compile(r"^(?:(?:m|mme|monsieur|madame) )?(?:le|la) president(?:e)?(?: de (?:la )?seance)?$")
@@ -59,12 +64,16 @@ SIMILAR = 0.84
 
 def fold(text: str) -> str:
     """Lower case without accents; other signs than letters and digits are spaces."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return re.sub(r"[^a-z0-9]+", " ", plain).strip()
+    plain = text if text.isascii() else _COMBINING.sub("", unicodedata.normalize("NFKD", text))
+    return _OTHER.sub(" ", plain.lower()).strip()
 
 
 def has_words(text: str) -> bool:
     """Whether a spoken word is left once marks, stage directions and fillers are out."""
+    if _MARKED.search(text) is None:  # no marks or brackets: the first word that fills no pause decides, unless it may begin a direction
+        first = next((w[0] for w in _WORDS.finditer(text) if not FILLERS.fullmatch(w[0])), None)
+        if first is None or not _DIRECTION.match(first):
+            return first is not None
     bare = FILLERS.sub(" ", BRACKETED.sub(" ", SIGNS.sub(" ", TIME.sub(" ", text)))).strip(" \t\n.,…–—-")
     return bool(_WORD.search(bare)) and not STANDING.match(bare)
 
@@ -176,7 +185,8 @@ def _parsed(lines: DataFrame, kept: list[str]) -> DataFrame:
             if (found := read_label(head[: at.start()])) is not None:
                 label, kind, rest = head[: at.start()].strip(), found[0], head[at.end() :]
         own = (speaker or "").strip("   \t")
-        return own, label, kind, has_words(rest), has_words(text), len(text) - len(rest)
+        every = has_words(text)
+        return own, label, kind, every if rest is text else has_words(rest), every, len(text) - len(rest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
