@@ -8,15 +8,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenaria.session import shuffle_partitions
 
 
-def by_key_in_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def by_key_in_order(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """Rows of a key together and in order, so that a fold streams over them without holding a group."""
-    return df.repartition(shuffle_partitions(df.sparkSession), key).sortWithinPartitions(key, *order)
+    keys = [key] if isinstance(key, str) else key
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
 
 
 def anchored_windows(df: DataFrame, key: str, at: str, tie: str, seconds: int) -> DataFrame:
@@ -53,34 +54,33 @@ def counted_once(df: DataFrame, key: str, group: str, view: str, at: str, tie: s
 
     A view that its key has seen is free. The first new view of a group is counted
     and lets up to ``most`` views of that group in for ``seconds``; a group that has
-    run out stays as it was and opens no second window.
+    run out stays as it was and opens no second window. Groups of one key are independent once
+    repeated views are set apart, so a key's rows are spread by group and no task remembers views.
     """
     own = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
-    fields = [*own.columns]
     span = seconds * 1_000_000
+    place = F.row_number().over(Window.partitionBy(key, view).orderBy("_t", tie))
+    placed = own.withColumn("_first", place == 1)  # a view seen before costs nothing and changes nothing
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, seen, groups = None, set(), {}
+        who, since, used = None, 0, 0
         for batch in batches:
             flags = []
-            for k, g, v, t in zip(batch[key].tolist(), batch[group].tolist(), batch[view].tolist(), batch["_t"].tolist()):
-                if k != who:
-                    who, seen, groups = k, set(), {}
-                if v in seen:
+            for k, g, t in zip(batch[key].tolist(), batch[group].tolist(), batch["_t"].tolist()):
+                fresh = (k, g) != who
+                if not fresh and t - since <= span and used < most:
+                    used += 1
                     flags.append(0)
                     continue
-                opened = groups.get(g)
-                if opened is not None and t - opened[0] <= span and opened[1] < most:
-                    opened[1] += 1
-                    flags.append(0)
-                else:
-                    groups.setdefault(g, [t, 1])
-                    flags.append(1)
-                seen.add(v)
+                if fresh:
+                    who, since, used = (k, g), t, 1
+                flags.append(1)
             yield batch[fields].assign(counted=flags)
 
+    fields = own.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return by_key_in_order(own, key, ["_t", tie]).mapInPandas(run, f"{types}, counted int").drop("_t")
+    firsts = by_key_in_order(placed.where("_first").drop("_first"), [key, group], ["_t", tie]).mapInPandas(run, f"{types}, counted int")
+    return firsts.unionByName(placed.where("not _first").drop("_first").withColumn("counted", F.lit(0))).drop("_t")
 
 
 def gap_filled(df: DataFrame, day: str, keys: list[str], days: int, last: Column, count: str = "count") -> DataFrame:

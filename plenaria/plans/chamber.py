@@ -94,13 +94,18 @@ def w18_remainder(spark, sf_dir):
     return ranks.largest_remainder(own.withColumn("seats", F.lit(50)), ["department"], "mandates", "seats", "constituency_no").drop("seats")
 
 
-def w19_place_search(spark, sf_dir):
-    """The eight departments that best match a search for ``vernes``: whole name, start, word start, within."""
-    query = "vernes"
+#: Searches that the query answers; the operator takes any.
+SEARCHES = ("vernes", "val", "mont", "de", "cotes d ombre", "loire", "zzz")
+
+
+def w19_place_search(spark, sf_dir, searches=SEARCHES):
+    """For each search the eight departments that match best: whole name, start, word start, within."""
     own = table(spark, sf_dir, "seats", "department", "department_name").where("department_name <> ''").groupBy("department", "department_name").agg(F.count(F.lit(1)).alias("mandates"))
-    key = place_query("department_name")
-    score = F.when(key == query, 0).when(key.startswith(query), 1).when(F.contains(F.concat(F.lit(" "), key), F.lit(" " + query)), 2).when(F.contains(key, F.lit(query)), 3)
-    return own.withColumn("score", score).where("score is not null").orderBy("score", F.length("department_name"), "department_name", "department").limit(8)
+    asked = own.withColumn("search", F.explode(F.array(*[F.lit(s) for s in searches]))).withColumn("key", place_query("department_name"))
+    key, query = F.col("key"), F.col("search")
+    score = F.when(key == query, 0).when(F.startswith(key, query), 1).when(F.contains(F.concat(F.lit(" "), key), F.concat(F.lit(" "), query)), 2).when(F.contains(key, query), 3)
+    found = asked.withColumn("score", score).where("score is not null")
+    return top_k(found, ["search"], [F.asc("score"), F.asc(F.length("department_name")), F.asc("department_name"), F.asc("department")], 8).drop("key")
 
 
 def w21_angles(spark, sf_dir):
@@ -315,9 +320,9 @@ _ALL = {
     "w18_remainder": (w18_remainder, """WITH c AS (SELECT department, constituency_no, count(*) AS mandates FROM seats WHERE department <> '' AND constituency_no IS NOT NULL GROUP BY ALL),
         x AS (SELECT *, 50 * mandates / sum(mandates) OVER (PARTITION BY department) AS x FROM c), f AS (SELECT *, floor(x) AS f, 50 - sum(floor(x)) OVER (PARTITION BY department) AS remaining FROM x),
         r AS (SELECT *, row_number() OVER (PARTITION BY department ORDER BY x - f DESC, constituency_no) AS r FROM f) SELECT department, constituency_no, mandates, (f + (r <= remaining)::INT)::BIGINT AS allotted FROM r"""),
-    "w19_place_search": (w19_place_search, f"""WITH c AS (SELECT department, department_name, count(*) AS mandates, {fold_sql("department_name")} AS k FROM seats WHERE department_name <> '' GROUP BY ALL),
-        s AS (SELECT department, department_name, mandates, CASE WHEN k = 'vernes' THEN 0 WHEN starts_with(k, 'vernes') THEN 1 WHEN contains(' ' || k, ' vernes') THEN 2 WHEN contains(k, 'vernes') THEN 3 END AS score FROM c)
-        SELECT * FROM s WHERE score IS NOT NULL ORDER BY score, length(department_name), department_name, department LIMIT 8"""),
+    "w19_place_search": (w19_place_search, f"""WITH c AS (SELECT department, department_name, count(*) AS mandates, {fold_sql("department_name")} AS k FROM seats WHERE department_name <> '' GROUP BY ALL), q AS (SELECT unnest({list(SEARCHES)}) AS search),
+        s AS (SELECT department, department_name, mandates, search, CASE WHEN k = search THEN 0 WHEN starts_with(k, search) THEN 1 WHEN contains(' ' || k, ' ' || search) THEN 2 WHEN contains(k, search) THEN 3 END AS score FROM c, q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY score, length(department_name), department_name, department)::INTEGER AS rank_no FROM s WHERE score IS NOT NULL) SELECT * FROM r WHERE rank_no <= 8"""),
     "w21_angles": (w21_angles, f"""WITH {SAID}, {_SEATS}, l AS (SELECT acteur_id, arg_max(department, (s, department)) AS department FROM seat WHERE s IS NOT NULL AND department <> '' GROUP BY 1),
         o AS (SELECT department, p.pid, coalesce(p.party, '') AS party, count(sid) AS speeches FROM politicians p JOIN l USING (acteur_id) LEFT JOIN said ON said.pid = p.pid GROUP BY ALL),
         m AS (SELECT department, arg_max(party, (n, party)) AS modal_party FROM (SELECT department, party, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1)
