@@ -27,7 +27,7 @@ DIMENSIONS, TOUCHED, LEAVES = 64, 4, 64
 #: Trees grown: the first over TF-IDF vectors, each further one over terms weighed by how well they tell the leaves before apart.
 TREES = 1
 #: Lloyd rounds of each bisection.
-ROUNDS = 4
+ROUNDS = 3
 #: Documents' worth of the whole corpus' leaf mixture in each subject's, against chance.
 SMOOTH = 5.0
 #: Rounds that find a term's mixture of subjects.
@@ -51,7 +51,7 @@ _BAG = ("bag", "tf")
 _TYPES = {"words": np.int32, "lengths": np.int32, "prints": np.int64, "kinds": np.int8, "bag": np.int32, "tf": np.uint16, "hits": np.int32}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
-_NO_WORD = (b"", 0, 0, 0, ())
+_NO_WORD = (b"", 0, 0, ())
 
 
 def sentences(paragraphs) -> list[str]:
@@ -88,6 +88,15 @@ def sums(rows: np.ndarray, columns: np.ndarray, height: int, width: int, weights
     return np.bincount(rows * width + columns, weights, minlength=height * width).reshape(height, width)
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    own = np.sort(values)
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[starts], np.diff(starts, append=len(own))
+
+
 @dataclass
 class Spoken:
     """A batch of documents as arrays: words by sentence, sentences by document."""
@@ -125,13 +134,22 @@ def _buckets(words: list[str]) -> tuple[int, ...]:
 
 
 def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int, str]], subjects: int):
-    """A partition function from texts to arrays, with the document frequency of each bucket at the end.
+    """A partition function from texts to arrays, with the document frequency of each bucket of words and the uses of each bucket of fingerprints at the end.
 
     A sentence holds the buckets of its distinct words and a fingerprint of all its words in their
     order; a document's bag has the buckets of its content with the sentences that use them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # millions of small tuples without cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         finder, first_words = ahocorasick.Automaton(), set()
@@ -143,17 +161,17 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
         buckets_of, plain_of, hash_of = _Tokens(_buckets).__getitem__, _Tokens(lambda words: "".join([f" {w}" for w in words])).__getitem__, xxhash.xxh64_intdigest
         known: dict[str, tuple] = {}
         room = REMEMBERED
-        frequency, live, kinds_of = np.zeros(BUCKETS, np.int64), 0, None
+        frequency, uses, live, kinds_of = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, None
 
         def read(sentence: str) -> tuple:
-            """Buckets, their number, fingerprints as sentence and as title, subjects of keywords."""
+            """Buckets, their number, the fingerprint (another for a title, which ends in a line end), subjects of keywords."""
             nonlocal room
             tokens = sentence.split()
             if not (own := set(chain.from_iterable(map(buckets_of, tokens)))):
                 return _NO_WORD
             joined = "".join(map(plain_of, tokens))
             hits = tuple([d for _, d in finder.iter(f"{joined} ")]) if not own.isdisjoint(first_words) else ()
-            entry = (array("i", own).tobytes(), len(own), hash_of(joined) - (1 << 63), hash_of(f"{joined}\n") - (1 << 63), hits)
+            entry = (array("i", own).tobytes(), len(own), hash_of(f"{joined}\n" if sentence[-1] == "\n" else joined) - (1 << 63), hits)
             room -= len(sentence)
             if room < 0:
                 known.clear()
@@ -164,49 +182,51 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
         for batch in batches:
             named = [column(batch, c).to_pylist() for c in titles]
             n, kinds_of = batch.num_rows, [column(batch, c).type for c in (key, "given")]
-            words, lengths, prints, kinds, held = [], [], [], [], np.zeros(n, np.int64)
+            entries, heads, held = [], [], []
             hits = np.zeros((n, subjects), np.int32)
             for i, paragraphs in enumerate(column(batch, content).to_pylist()):
-                before = len(kinds)
+                before = len(entries)
                 for s in sentences(paragraphs):
                     entry = known.get(s) or read(s)
                     if entry[1]:
-                        words.append(entry[0])
-                        lengths.append(entry[1])
-                        prints.append(entry[2])
-                        kinds.append(0)
-                        for d in entry[4]:
+                        entries.append(entry)
+                        for d in entry[3]:
                             hits[i, d] += 1
-                for at, column_ in enumerate(named, 1):
-                    if column_[i]:
-                        entry = known.get(s := column_[i].lower()) or read(s)
+                for kind, heading in enumerate(named, 1):
+                    if heading[i]:
+                        entry = known.get(s := heading[i].lower().rstrip("\n") + "\n") or read(s)
                         if entry[1]:
-                            words.append(entry[0])
-                            lengths.append(entry[1])
-                            prints.append(entry[3])
-                            kinds.append(at)
-                held[i] = len(kinds) - before
-            every, sizes, titled = np.frombuffer(b"".join(words), np.int32), np.array(lengths, np.int32), np.array(kinds, np.int8)
+                            heads.append((len(entries), kind))
+                            entries.append(entry)
+                held.append(len(entries) - before)
+            held, words, lengths, prints = np.array(held, np.int64), [e[0] for e in entries], [e[1] for e in entries], [e[2] for e in entries]
+            kinds = np.zeros(len(entries), np.int8)
+            for at, kind in heads:
+                kinds[at] = kind
+            every, sizes, titled = np.frombuffer(b"".join(words), np.int32), np.array(lengths, np.int32), kinds
             owner = np.repeat(np.arange(n), held)
             spoken = sums(owner, np.zeros(len(owner), np.int64), n, 1, sizes)[:, 0].astype(np.int64)
             said = np.repeat(titled == 0, sizes)
-            pairs, counts = np.unique(np.repeat(owner, sizes)[said] * BUCKETS + every[said], return_counts=True)
+            pairs, counts = counted(np.repeat(owner, sizes)[said] * BUCKETS + every[said])
             bag, of = (pairs % BUCKETS).astype(np.int32), pairs // BUCKETS
             frequency += np.bincount(bag, minlength=BUCKETS)
+            marks = np.array(prints, np.int64)
+            uses += np.bincount(marks & (BUCKETS - 1), minlength=BUCKETS)
             in_bag = np.bincount(of, minlength=n)
             live += int((in_bag > 0).sum())
             yield pa.RecordBatch.from_pydict(
                 {
-                    key: column(batch, key), "given": column(batch, "given"), "words": packed(every, spoken), "lengths": packed(sizes, held), "prints": packed(np.array(prints, np.int64), held),
+                    key: column(batch, key), "given": column(batch, "given"), "words": packed(every, spoken), "lengths": packed(sizes, held), "prints": packed(marks, held),
                     "kinds": packed(titled, held), "bag": packed(bag, in_bag), "tf": packed(np.minimum(counts, 65_535).astype(np.uint16), in_bag),
                     "hits": packed(hits.ravel(), np.full(n, subjects)), "term": pa.nulls(n, pa.int32()), "held": pa.nulls(n, pa.int64()),
                 }
             )
-        at = np.flatnonzero(frequency)
+        every = np.concatenate((frequency, uses))
+        at = np.flatnonzero(every)
         size = len(at) + 1
         if kinds_of is not None:
             none = {c: pa.nulls(size, kind) for c, kind in [*zip((key, "given"), kinds_of), *((c, pa.binary()) for c in _TYPES)]}
-            yield pa.RecordBatch.from_pydict({**none, "term": pa.array(np.append(at, -1), pa.int32()), "held": pa.array(np.append(frequency[at], live), pa.int64())})
+            yield pa.RecordBatch.from_pydict({**none, "term": pa.array(np.append(at, -1), pa.int32()), "held": pa.array(np.append(every[at], live), pa.int64())})
 
     return run
 
@@ -353,9 +373,11 @@ class SubjectModel:
         self.arrays = table.where("term is null")
         found = table.where("term is not null").groupBy("term").agg(F.sum("held").alias("n")).toPandas()
         own = found[found["term"] >= 0]
-        frequency = np.zeros(BUCKETS, np.int64)
-        frequency[own["term"]] = own["n"]
+        every = np.zeros(2 * BUCKETS, np.int64)
+        every[own["term"]] = own["n"]
         self.live = int(found.loc[found["term"] < 0, "n"].sum())
+        self.least = max(5.0, SET_SHARE * self.live)
+        frequency, self.often = every[:BUCKETS], every[BUCKETS:] >= self.least  # a phrase as frequent as a set phrase is in such a bucket
         self.idf = np.where(frequency >= 2, np.log((1 + self.live) / (1 + np.maximum(frequency, 1))), 0)
 
     def grow(self, weight: np.ndarray) -> Tree:
@@ -447,7 +469,7 @@ class SubjectModel:
 
     def refined(self, classifier: Classifier) -> Classifier:
         """Terms counted in the sentences about each subject, so that passing remarks lend nothing; set phrases are found."""
-        n = len(self.domains)
+        n, often, least = len(self.domains), self.often, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, totals = np.zeros((BUCKETS, n), np.int64), np.zeros((2, n), np.int64)
@@ -462,13 +484,14 @@ class SubjectModel:
                 best = np.where(mix.sum(axis=1) >= 2, mix.argmax(axis=1), -1)
                 about = found[e.of]
                 own = about >= 0
-                counts += sums(e.words[own], about[own], BUCKETS, n)
+                np.add.at(counts.reshape(-1), e.words[own] * n + about[own], 1)
                 totals[0] += np.bincount(found[found >= 0], minlength=n)
                 totals[1] += np.bincount(best[best >= 0], minlength=n)
-                for kind, own in ((1, e.title == 0), (3, e.title > 0)):
+                likely = often[e.prints & (BUCKETS - 1)]
+                for kind, own in ((1, (e.title == 0) & likely), (3, (e.title > 0) & likely)):
                     phrase, place = np.unique(e.prints[own], return_inverse=True)
-                    both = np.unique(place * e.documents + e.owner[own])
-                    held, count = np.unique(both // e.documents * (n + 1) + best[both % e.documents] + 1, return_counts=True)
+                    both, _ = counted(place * e.documents + e.owner[own])
+                    held, count = counted(both // e.documents * (n + 1) + best[both % e.documents] + 1)
                     yield out(kind, phrase[held // (n + 1)], held % (n + 1) - 1, count)
             b, s = np.nonzero(counts)
             yield out(0, b, s, counts[b, s])
@@ -481,7 +504,6 @@ class SubjectModel:
         counts[words["b"], words["s"]] = words["v"]
         whole = found.where("kind = 2").toPandas()
         totals[whole["b"], whole["s"]] = whole["v"]
-        least = max(5.0, SET_SHARE * self.live)
         rates = F.array(*[F.sum(F.when(F.col("s") == d, F.col("v") / float(max(totals[1, d], 1e-9))).otherwise(0.0)) for d in range(n)])
         known = F.sum(F.when(F.col("s") >= 0, F.col("v")).otherwise(0)).alias("known")
         used = found.where("kind in (1, 3)").groupBy("kind", "b").agg(F.sum("v").alias("n"), known, rates.alias("r")).where(F.col("n") >= least)
