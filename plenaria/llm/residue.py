@@ -116,8 +116,8 @@ def _missing(text: str) -> bool:
     for found in MISSING.finditer(text):
         if _LABELLED.search(text[max(0, found.start() - 12) : found.start()]):
             return True
-        a = max((m.end() for m in _SPLIT.finditer(text[: found.start()])), default=0)
-        near = [w.lower() for w in _WORD.findall(text[a : found.start()])[-6:] + _WORD.findall(text[found.end() : found.end() + 60])[:6]]
+        before = _SPLIT.split(text[max(0, found.start() - 200) : found.start()])[-1]
+        near = [w.lower() for w in _WORD.findall(before)[-6:] + _WORD.findall(text[found.end() : found.end() + 60])[:6]]
         if sum(w in _FRENCH for w in near) > sum(w in _OTHERS for w in near):
             return True
     return False

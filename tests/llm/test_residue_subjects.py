@@ -118,6 +118,16 @@ def test_subjects_on_held_out_labels(spark):
     assert subjects.subjects(said.limit(0), domains, labels).count() == 0
 
 
+def test_long_texts_in_bounded_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("undefined is " * 20_000, "[" * 50_000, "(" + "mot " * 50_000, "{{" * 50_000, "__A_" * 20_000, "« " * 50_000, "a" * 200_000, "Non. " * 50_000):
+        residue.has_slot(residue.unquoted(text))
+        [residue.segment_kind(x) for x in residue.segments(text)[:100]]
+    assert time.perf_counter() - began < 30
+
+
 def test_a_slot_may_hold_sentence_ends(spark):
     df = spark.createDataFrame([(1, "Bonjour {{ user.name ? user.name : x. Sinon }} fin."), (2, "Un texte. Un autre.")], "doc_id bigint, text string")
     assert [r["doc_id"] for r in residue.residue(df).collect()] == [1]
@@ -135,6 +145,21 @@ def test_labels_of_whole_pages_reach_near_copies_without_a_pattern(spark):
     assert {r["doc_id"]: r["trusted"] for r in residue.residue(df).collect()} == {1: True, 2: False, 4: True}
 
 
+def test_as_many_subjects_as_reach_the_share(spark):
+    from datetime import datetime
+
+    rng, at = random.Random(16), datetime(2024, 1, 1)
+    names = sorted(SUBJECTS)
+    rows = [(sid, speech(rng, names[sid % 8]), None, None, at) for sid in range(320)]
+    rows.append((900, speech(rng, "mer", 6) + speech(rng, "bois", 6) + speech(rng, "vin", 6), None, None, at))
+    said = spark.createDataFrame(rows, "sid bigint, content array<string>, dossier_title string, debate_title string, loaded_at timestamp")
+    domains = spark.createDataFrame([(d, d, k[:2]) for d, k in SUBJECTS.items()], "domain_id string, label string, keywords array<string>")
+    labels = spark.createDataFrame([(s, names[s % 8]) for s in range(0, 320, 5)], "sid bigint, domain_id string")
+    every = {r["domain_id"] for r in subjects.subjects(said, domains, labels, most=None).where("sid = 900").collect()}
+    assert every == {"mer", "bois", "vin"}
+    assert len({r["domain_id"] for r in subjects.subjects(said, domains, labels).where("sid = 900").collect()}) == 2
+
+
 def pairs_near(rng, similarity, count, n=300):
     """Texts of which each two in a row have about this similarity."""
     texts = []
