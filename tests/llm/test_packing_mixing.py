@@ -71,6 +71,22 @@ def test_token_counts_round_trip(spark):
         sizes.tokenizer("/nowhere.json")
 
 
+@given(st.lists(st.text(max_size=60), max_size=20))
+@settings(max_examples=150, deadline=None)
+def test_tokens_of_cuts_are_those_of_the_text(texts):
+    count = sizes.Counter(sizes.TOKENIZER)
+    assert count.cut is not None
+    texts = [*texts, "  deux   blancs \n\n fin ", "l'été d'Ana n'a pas 1\u00a0234 ‘mots’…", "\r\n\t x", "x" * 3000, "<|endoftext|>", "e\u0301\u0301 \U0001f600\u200d"]
+    own = sizes.tokenizer(sizes.TOKENIZER)
+    assert count.of(texts) == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_tokenizers_read_whole_texts():
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    count, own = sizes.Counter(path), sizes.tokenizer(path)
+    assert count.cut is None and count.of(["Un mot.", ""]) == [len(own.encode(t, add_special_tokens=False).ids) for t in ("Un mot.", "")]
+
+
 def test_expected_copies():
     sources = {"a": (0.5, 2, 1000), "b": (0.3, 1, 10_000), "c": (0.1, 3, 0), "d": (0.1, 0, 50)}
     copies = mixing.expected_copies(sources)
