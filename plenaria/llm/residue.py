@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,28 @@ from plenaria.session import broadcast_if_small, checkpoint, written
 # --- what residue looks like --------------------------------------------------
 
 #: Slots that a template engine or a writer left unfilled; a slot ends at its closing mark, however far that is.
-SLOTS = re.compile(
-    r"""\{\{[^{}\n]+\}\} | \$\{[^{}\n]+\} | \{%[^%\n]+%\} | <%[^%\n]+%> | \[\[[^\[\]\n]+\]\]
-    | (?<![\w{}$]) \{ [A-Za-z_0-9.]+ \} | %\([A-Za-z_.0-9]+\)[sdif] | @@\w+@@ | __[A-Z][A-Z0-9_]*__ | \#[A-Z][A-Z0-9_]{2,}\#
-    | %[A-Z][A-Z0-9_]{2,}% | \$[A-Z][A-Z0-9_]{2,}\$ | <[A-Z][A-Z0-9_]{2,}> | \[(?!SIC\]|NDLR\])[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ0-9_]{2,}\]
-    | \[[^\[\]\n]*\b(?i:compléter|insérer|préciser|renseigner|remplir)\b[^\[\]\n]*\] | \([^()\n]*\b(?i:à\ insérer|à\ compléter|à\ préciser|à\ renseigner)\b[^()\n]*\)
-    | <\s?(?i:insérer|compléter|préciser|renseigner)\b[^<>\n]*> | \[[●•_.\ ]+(?<!\.)\] | \[object\ Object\]
-    | «[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ\ '’]{2,}» | \bPrénom\ NOM\b | \bn°\ ?X{2,}\b | \bXX/XX/\w{2,4}\b | \b(?:TODO|FIXME|TBD)\b\s*(?::|$)""",
-    re.X | re.M,
-)
+#: By a sign or word that such a slot holds: only texts with it are searched.
+SLOTS = {
+    "{": re.compile(r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|\{%[^%\n]+%\}|(?<![\w{}$])\{[A-Za-z_0-9.]+\}"),
+    "<": re.compile(r"<%[^%\n]+%>|<[A-Z][A-Z0-9_]{2,}>|<\s?(?i:insérer|compléter|préciser|renseigner)\b[^<>\n]*>"),
+    "[": re.compile(
+        r"""\[\[[^\[\]\n]+\]\] | \[(?!SIC\]|NDLR\])[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ0-9_]{2,}\] | \[[●•_.\ ]+(?<!\.)\] | \[object\ Object\]
+        | \[[^\[\]\n]*\b(?i:compléter|insérer|préciser|renseigner|remplir)\b[^\[\]\n]*\]""",
+        re.X,
+    ),
+    "(": re.compile(r"\([^()\n]*\b(?i:à insérer|à compléter|à préciser|à renseigner)\b[^()\n]*\)"),
+    "%": re.compile(r"%\([A-Za-z_.0-9]+\)[sdif]|%[A-Z][A-Z0-9_]{2,}%"),
+    "@@": re.compile(r"@@\w+@@"),
+    "__": re.compile(r"__[A-Z][A-Z0-9_]*__"),
+    "#": re.compile(r"\#[A-Z][A-Z0-9_]{2,}\#"),
+    "$": re.compile(r"\$[A-Z][A-Z0-9_]{2,}\$"),
+    "«": re.compile(r"«[A-ZÉÈÊÀÂÎÔÛÇ][A-ZÉÈÊÀÂÎÔÛÇ '’]{2,}»"),
+    " NOM": re.compile(r"\bPrénom NOM\b"),
+    "XX": re.compile(r"\bn° ?X{2,}\b|\bXX/XX/\w{2,4}\b"),
+    "TODO": re.compile(r"\bTODO\b\s*(?::|$)", re.M),
+    "FIXME": re.compile(r"\bFIXME\b\s*(?::|$)", re.M),
+    "TBD": re.compile(r"\bTBD\b\s*(?::|$)", re.M),
+}
 #: What a template engine prints for a value that is missing. In prose that speaks of such values they are words, so they count
 #: after a form of address or a label, or where the segment's other small words are French.
 MISSING = re.compile(r"(?<![\w'’-])(?:undefined|NaN|null)(?![\w'’-])")
@@ -87,15 +101,14 @@ REMEMBERED = 20_000_000
 
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+")
 _SPACE = re.compile(r"[^\S\n]+")
-_SPACED = re.compile("  |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DIGIT = re.compile(r"\d")
+_SPACES = ("  ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_DIGITS, _HEXADECIMAL = re.compile(r"\d+"), re.compile(r"(?=\w*\d)[0-9a-f]+")
 _QUOTED = re.compile(r"«\s[^«»\n]*\s»|“[^“”\n]*”|\"[^\"\n]*\"|« [^«»\n]*»")
 _MARK = re.compile(r"[«“\"]")
-_SLOTTED = re.compile(r"[{}\[\]<>@#$%_(«]|undefined|NaN|null|NOM|XX|TODO|FIXME|TBD")
 _WORD = re.compile(r"\w+")
-_NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]+\b|\d+")
 
 
+@lru_cache(maxsize=100_000)
 def _typed(word: str) -> bool:
     """Whether a word is one that fingers make, not thought."""
     return word in TYPED or len(set(word)) == 1 and (len(word) > 3 or len(word) == 3 and word[0] not in "icmx") or len(word) > 3 and any(word in row for row in ROWS)
@@ -125,15 +138,18 @@ def _missing(text: str) -> bool:
 
 def segments(text: str) -> list[str]:
     """Lines and sentences of a whole text, single-spaced."""
-    single = _SPACE.sub(" ", text) if _SPACED.search(text) else text
+    single = _SPACE.sub(" ", text) if any([x in text for x in _SPACES]) else text
     return [s for x in _SPLIT.split(single) if (s := x.strip())]
 
 
-def normal_segment(low: str, words: list[str] | None = None) -> str:
-    """Words of a segment in lower case, numbers and hexadecimal tokens as 0."""
-    if _DIGIT.search(low):
-        words = _WORD.findall(_NUMBER.sub("0", low))
-    return " ".join(_WORD.findall(low) if words is None else words)
+@lru_cache(maxsize=100_000)
+def _numbered(word: str) -> str:
+    return "0" if _HEXADECIMAL.fullmatch(word) else _DIGITS.sub("0", word)
+
+
+def normal_segment(words: list[str]) -> str:
+    """Words of a segment in lower case, with 0 for numbers and hexadecimal tokens."""
+    return " ".join([w if w.isalpha() else _numbered(w) for w in words])
 
 
 def unquoted(text: str) -> str:
@@ -143,7 +159,7 @@ def unquoted(text: str) -> str:
 
 def has_slot(spoken: str) -> bool:
     """Whether an unquoted text has an unfilled slot."""
-    return bool(_SLOTTED.search(spoken)) and (bool(SLOTS.search(spoken)) or _missing(spoken))
+    return any([sign in spoken and pattern.search(spoken) for sign, pattern in SLOTS.items()]) or any([w in spoken for w in ("undefined", "NaN", "null")]) and _missing(spoken)
 
 
 def _hinted() -> Callable[[str], bool]:
@@ -186,7 +202,7 @@ class _Segments(dict):
     def __missing__(self, segment: str) -> tuple[str | None, int, int, bytes]:
         low = segment.lower()
         words = _WORD.findall(low)
-        found = (prose_kind(low, words, self.hinted), _digest(normal_segment(low, words)), len(words), self.hashes.of(words))
+        found = (prose_kind(low, words, self.hinted), _digest(normal_segment(words)), len(words), self.hashes.of(words))
         self.room -= len(segment)
         if self.room < 0:
             self.clear()
@@ -240,7 +256,7 @@ def _segment_digests(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = {(k, _digest(n)) for k, t in zip(batch[key], batch[text]) for s in segments(unquoted(t)) if (n := normal_segment(s.lower()))}
+            rows = {(k, _digest(n)) for k, t in zip(batch[key], batch[text]) for s in segments(unquoted(t)) if (n := normal_segment(_WORD.findall(s.lower())))}
             yield pd.DataFrame(list(rows), columns=[key, "digest"])
 
     kind = texts.schema[key].dataType.simpleString()

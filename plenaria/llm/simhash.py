@@ -95,17 +95,12 @@ def fingerprints(owner: np.ndarray, hashes: np.ndarray, texts: int) -> tuple[np.
     """SimHashes (``texts`` by PRINTS signed numbers) and sizes of sets from :func:`shingle_sets`."""
     sizes = np.bincount(owner, minlength=texts)
     ends = np.cumsum(sizes)
-    out = np.zeros((texts, PRINTS), np.int64)
-    for p in range(PRINTS):
-        mixed = _mixed(hashes + np.array([p + 1], np.uint64) * _MASK).astype(">u8").view(np.uint8).reshape(-1, 8)
-        for i in np.flatnonzero(sizes):
-            ones = np.zeros(64, np.int64)
-            for at in range(ends[i] - sizes[i], ends[i], 255 * 256):
-                bits = np.unpackbits(mixed[at : min(ends[i], at + 255 * 256)], axis=1)
-                for b in range(0, len(bits), 255):
-                    ones += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
-            out[i, p] = np.packbits(2 * ones > sizes[i]).view(">i8")[0]
-    return out, sizes
+    mixed = np.stack([_mixed(hashes + np.array([p + 1], np.uint64) * _MASK) for p in range(PRINTS)], axis=1).astype(">u8").view(np.uint8).reshape(len(hashes), 8 * PRINTS)
+    ones = np.zeros((texts, 64 * PRINTS), np.int64)
+    for i in np.flatnonzero(sizes):
+        for at in range(ends[i] - sizes[i], ends[i], 255):  # what one byte can count
+            ones[i] += np.unpackbits(mixed[at : min(at + 255, ends[i])], axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">i8").astype(np.int64), sizes
 
 
 def text_fingerprints(texts: DataFrame, key: str, text: str) -> DataFrame:
