@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenaria.plans.base import SAID, said
+from plenaria.plans.base import ASIDES, SAID, asides, said, words_sql
 from plenaria.session import scratch
 from plenaria.sources import debates, files
 from plenaria.sources.tables import table
@@ -166,6 +166,108 @@ def s1_transcripts(spark, sf_dir):
     return read.groupBy("session_uid").agg(F.count(F.lit(1)).alias("speeches"), F.sum(F.length("text")).alias("signs"), F.min("day").cast("string").alias("day"))
 
 
+def _lettered(c):
+    """Letters and single spaces only, so that XML carries them as they are."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}]+", " "))
+
+
+def write_debates(spark: SparkSession, sf_dir: str) -> str:
+    """Sittings as debate transcripts with an agenda of two levels, paragraphs of speeches, and interruptions; the pattern of the files."""
+    parts = F.filter(F.transform(F.coalesce("content", F.array().cast("array<string>")), _lettered), lambda p: p != "")
+    own = said(spark, sf_dir, "content", "debate_title", "dossier_title", "section_code", "bill_number").where("session_uid is not null").select(
+        "session_uid", "sid", parts.alias("parts"), _lettered(F.col("debate_title")).alias("first"), _lettered(F.col("dossier_title")).alias("second"),
+        F.when(F.col("section_code") == "QST_GVT", "QG").otherwise(F.coalesce("section_code", F.lit(""))).alias("section"), F.coalesce("bill_number", F.lit("")).alias("bill"),
+    )
+    sid = F.col("sid").cast("string")
+
+    def paragraph(code, acteur, label, text):
+        return F.concat(F.lit('<paragraphe code_grammaire="'), F.lit(code), F.lit('" id_acteur="'), acteur, F.lit('"><orateurs><orateur><nom>'), label, F.lit("</nom></orateur></orateurs><texte>"), text, F.lit("</texte></paragraphe>"))
+
+    speech = F.array_join(F.transform("parts", lambda p: paragraph("PAROLE_GENERIQUE", F.concat(F.lit("PA"), sid), F.concat(F.lit("Orateur "), sid), p)), "")
+    head = F.concat(
+        F.lit('<point nivpoint="1" code_grammaire="'), F.col("section"), F.lit('" id_syceron="'), sid, F.lit('" valeur="'), F.col("bill"), F.lit('"><texte>'), F.col("first"), F.lit('</texte></point><point nivpoint="2" code_grammaire="'), F.col("section"),
+        F.lit('"><texte>'), F.col("second"), F.lit("</texte></point>"),
+    )
+    spoken = own.where(F.size("parts") > 0).groupBy("session_uid").agg(F.array_join(F.collect_list(F.concat(head, speech)), "").alias("spoken"))  # a file is one sitting
+    quote = F.concat(F.lit("Bon "), _lettered(F.col("quote")))
+    cut = asides(spark, sf_dir).where("record_type = 'interruption' and session_uid is not null and day is not null")
+    heckled = cut.groupBy("session_uid").agg(F.array_join(F.collect_list(paragraph("INTERRUPTION_1", F.concat(F.lit("PA"), F.col("aside_id").cast("string")), F.concat(F.lit("M. "), F.coalesce(F.nullif(_lettered(F.col("speaker")), F.lit("")), F.lit("X"))), quote)), "").alias("heckled"))
+    both = spoken.join(heckled, "session_uid", "full").fillna("", ["spoken", "heckled"])
+    opened = F.concat(F.lit("<compteRendu><uid>"), F.col("session_uid"), F.lit("</uid><metadonnees><dateSeance>20240102150000000</dateSeance><numSeance>7</numSeance></metadonnees><contenu>"))
+    path = scratch(spark, "debates")
+    both.select(F.col("session_uid").alias("session"), F.concat(opened, F.col("spoken"), F.col("heckled"), F.lit("</contenu></compteRendu>")).alias("value")).write.partitionBy("session").text(path)
+    return f"{path}/*/*.txt"
+
+
+def s2_metadata(spark, sf_dir):
+    """What heads each transcript: sitting, day, number; with its paragraphs and those of interruptions."""
+    rows = debates.paragraphs(spark, write_debates(spark, sf_dir))
+    return rows.groupBy("session_uid").agg(F.min("day").cast("string").alias("day"), F.min("sitting").alias("sitting"), F.sum((F.col("code") == "PAROLE_GENERIQUE").cast("int")).alias("paragraphs"), F.sum((F.col("code") == "INTERRUPTION_1").cast("int")).alias("interruptions"))
+
+
+def q2_segments(spark, sf_dir):
+    """Speeches put together from paragraphs under their points of the agenda: texts, bills, last ordinal."""
+    found = debates.speeches(debates.paragraphs(spark, write_debates(spark, sf_dir)))
+    return found.groupBy("session_uid").agg(
+        F.count(F.lit(1)).alias("speeches"), F.sum(F.length("text")).alias("signs"), F.countDistinct(F.when(F.col("bill_number") != "", F.col("bill_number"))).alias("bills"), F.max(F.regexp_extract("speech_id", r"__(\d+)__", 1).cast("int")).alias("last_no"),
+    )
+
+
+def q5_topics(spark, sf_dir):
+    """What is debated: the second level of the agenda in question time, else the first."""
+    found = debates.speeches(debates.paragraphs(spark, write_debates(spark, sf_dir)))
+    return found.groupBy("debate_topic", "section_code").agg(F.count(F.lit(1)).alias("speeches"))
+
+
+def q7_interruptions(spark, sf_dir):
+    """Interruptions drawn from transcripts, and those that may be kept as lines of a person: two to fifteen words, nothing of procedure."""
+    rows = debates.asides(debates.paragraphs(spark, write_debates(spark, sf_dir)), {})
+    return rows.where("record = 'interruption'").groupBy("session_uid").agg(F.count(F.lit(1)).alias("interruptions"), F.sum("words").alias("words"), F.sum("keep").alias("kept"))
+
+
+def s8_whole_texts(spark, sf_dir):
+    """The subjects' expressions as texts whose file names hold the keys."""
+    path, jvm = scratch(spark, "whole"), spark.sparkContext._jvm
+    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, r in enumerate(table(spark, sf_dir, "domains").orderBy("domain_id").collect(), 1):  # a fixed list
+        stream = system.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{r['domain_id']}__{i:03d}__mots.txt"))
+        stream.write("\n".join(r["keywords"]).encode())
+        stream.close()
+    read = files.whole_texts(spark, f"{path}/*.txt", r"^(?P<domain_id>.+)__(?P<no>\d+)__(?P<kind>.+)\.txt$")
+    return read.select("domain_id", F.col("no").cast("int").alias("no"), "kind", F.length("text").alias("signs"))
+
+
+def k3_publish(spark, sf_dir):
+    """A table that is published, refused once, and published again: readers see the last whole one."""
+    path = scratch(spark, "published")
+    own = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations"))
+    files.publish(own.limit(1), path)
+    try:
+        files.publish(own.limit(0), path, check=lambda d: not d.isEmpty())
+        raise AssertionError("an empty table was published")
+    except ValueError:
+        pass
+    files.publish(own, path, check=lambda d: not d.isEmpty())
+    return spark.read.parquet(path)
+
+
+def k5_bundle(spark, sf_dir):
+    """Small tables as one JSON document, read again."""
+    own = table(spark, sf_dir, "domains").select("domain_id", "label")
+    text = files.bundle({"domains": own, "regions": table(spark, sf_dir, "region").select("r_name")})
+    one = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", "domains array<struct<domain_id:string,label:string>>, regions array<struct<r_name:string>>").alias("b"))
+    return one.select(F.explode("b.domains").alias("d"), F.size("b.regions").alias("regions")).select("d.*", "regions")
+
+
+def k7_pages(spark, sf_dir):
+    """A page in Markdown for each region with its nations."""
+    own = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return files.markdown(own, "n_regionkey", "r_name", ["n_nationkey", "n_name"], ["n_nationkey"])
+
+
+_LETTERS = lambda c: rf"trim(regexp_replace(coalesce({c}, ''), '[^\p{{L}}]+', ' ', 'g'))"
+_PARTS = f"""parts AS (SELECT *, list_filter(list_transform(coalesce(content, []), lambda p: {_LETTERS("p")}), lambda p: p <> '') AS l, CASE WHEN section_code = 'QST_GVT' THEN 'QG' ELSE coalesce(section_code, '') END AS section FROM said WHERE session_uid IS NOT NULL), spoke AS (SELECT * FROM parts WHERE len(l) > 0)"""
+_CUT = f"""cut AS (SELECT *, {words_sql("'Bon ' || " + _LETTERS("quote"))} AS own_norm FROM aside WHERE record_type = 'interruption' AND session_uid IS NOT NULL AND day IS NOT NULL)"""
 _PLAIN = r"trim(regexp_replace(coalesce(array_to_string(content, ' '), ''), '[^\p{L}]+', ' ', 'g'))"
 _ALL = {
     "s4_json_lines": (s4_json_lines, "SELECT record_type, count(*) AS n, count(DISTINCT aside_id) AS ids, sum(words)::BIGINT AS words, sum(len(coalesce(group_codes, [])))::BIGINT AS groups FROM asides GROUP BY 1"),
@@ -175,6 +277,16 @@ _ALL = {
     "s9_csv": (s9_csv, "SELECT unnest(['plain', 'excel']) AS way, n, numbers, people, departments FROM (SELECT count(*) AS n, sum(constituency_no)::BIGINT AS numbers, count(DISTINCT acteur_id) AS people, count(DISTINCT CASE WHEN department_name <> '' THEN department_name END) AS departments FROM seats)"),
     "s10_xlsx": (s10_xlsx, "SELECT n_name AS name, 'région ' || n_regionkey AS region, n_nationkey::INTEGER AS key FROM nation"),
     "s11_sqlite": (s11_sqlite, "SELECT source, target_share AS share, max_repeats AS cap FROM source_targets WHERE max_repeats > 0"),
+    "s2_metadata": (s2_metadata, f"""WITH {SAID}, {ASIDES}, {_PARTS}, {_CUT}, p AS (SELECT session_uid, sum(len(l)) AS n FROM spoke GROUP BY 1), i AS (SELECT session_uid, count(*) AS n FROM cut GROUP BY 1)
+        SELECT session_uid, '2024-01-02' AS day, '7' AS sitting, coalesce(p.n, 0)::BIGINT AS paragraphs, coalesce(i.n, 0)::BIGINT AS interruptions FROM p FULL JOIN i USING (session_uid)"""),
+    "q2_segments": (q2_segments, f"""WITH {SAID}, {_PARTS} SELECT session_uid, count(*) AS speeches, sum(length(array_to_string(l, chr(10) || chr(10))))::BIGINT AS signs, count(DISTINCT nullif(bill_number, '')) AS bills, count(*)::INTEGER AS last_no FROM spoke GROUP BY 1"""),
+    "q5_topics": (q5_topics, f"""WITH {SAID}, {_PARTS}, t AS (SELECT section, {_LETTERS("debate_title")} AS a, {_LETTERS("dossier_title")} AS b FROM spoke) SELECT CASE WHEN section = 'QG' AND b <> '' THEN b ELSE a END AS debate_topic, section AS section_code, count(*) AS speeches FROM t GROUP BY ALL"""),
+    "q7_interruptions": (q7_interruptions, f"""WITH {ASIDES}, {_CUT}, w AS (SELECT session_uid, len(list_filter(string_split(own_norm, ' '), lambda t: t <> '')) AS n, regexp_matches(own_norm, '(^| )(demande la parole|s il vous pla[iî]t|veuillez|je retire mon)( |$)') AS formal FROM cut)
+        SELECT session_uid, count(*) AS interruptions, sum(n)::BIGINT AS words, sum((n BETWEEN 2 AND 15 AND NOT formal)::INT)::BIGINT AS kept FROM w GROUP BY 1"""),
+    "s8_whole_texts": (s8_whole_texts, "SELECT domain_id, row_number() OVER (ORDER BY domain_id)::INTEGER AS no, 'mots' AS kind, length(array_to_string(keywords, chr(10)))::INTEGER AS signs FROM domains"),
+    "k3_publish": (k3_publish, "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1"),
+    "k5_bundle": (k5_bundle, "SELECT domain_id, label, (SELECT count(*) FROM region)::INTEGER AS regions FROM domains"),
+    "k7_pages": (k7_pages, "SELECT n_regionkey, '# ' || any_value(r_name) || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS page FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "s1_transcripts": (s1_transcripts, f"WITH {SAID}, t AS (SELECT session_uid, {_PLAIN} AS t FROM said WHERE session_uid IS NOT NULL) SELECT session_uid, count(*) AS speeches, sum(length(t))::BIGINT AS signs, '2024-01-02' AS day FROM t WHERE t <> '' GROUP BY 1"),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
