@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -221,6 +222,13 @@ def readings(documents: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # many small tuples without cycles
+        try:
+            yield from read(batches)
+        finally:
+            gc.enable()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Segments()
         for batch in batches:
             rows, hashes, lengths = [], [], []

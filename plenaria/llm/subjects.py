@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -141,8 +142,6 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         gc.disable()  # millions of small tuples without cycles
         try:
             yield from encoded(batches)

@@ -169,4 +169,4 @@ def top_terms(speech_ngrams: DataFrame, ngrams: DataFrame, k: int = 5) -> DataFr
     once = found.groupBy("gid", "_salt", "sid", "pid", "session_uid", "term_no").agg(F.max("uses").alias("uses"))
     summed = once.groupBy("pid", "session_uid", "term_no").agg(F.sum("uses").alias("uses"))
     best = top_k(summed, ["pid", "session_uid"], [F.desc_nulls_last("uses"), F.asc("term_no")], k)
-    return best.join(broadcast_if_small(terms), "term_no").select("pid", "session_uid", "rank_no", "term", "uses")
+    return best.join(broadcast_if_small(terms, 20_000), "term_no").select("pid", "session_uid", "rank_no", "term", "uses")
