@@ -225,6 +225,24 @@ def q7_interruptions(spark, sf_dir):
     return rows.where("record = 'interruption'").groupBy("session_uid").agg(F.count(F.lit(1)).alias("interruptions"), F.sum("words").alias("words"), F.sum("keep").alias("kept"))
 
 
+def q8_reactions(spark, sf_dir):
+    """Applause and protest drawn from the stage directions of transcripts: their groups, and the sentence before each."""
+    own = asides(spark, sf_dir).where("record_type = 'reaction' and session_uid is not null and size(group_codes) > 0")
+    codes = sorted(r[0] for r in own.select(F.explode("group_codes")).distinct().limit(1000).collect())  # the chamber's groups
+    what = F.when(F.col("aside_id") % 2 == 0, "Applaudissements").otherwise("Protestations")
+    benches = F.when(F.size("group_codes") == 1, " sur les bancs du groupe ").otherwise(" sur les bancs des groupes ")
+    direction = F.concat(F.lit("<italique>("), what, benches, F.array_join("group_codes", " et "), F.lit(".)</italique>"))
+    spoken = F.concat(F.lit("Un mot. Bon "), _lettered(F.col("quote")), F.lit(". "), direction)
+    number = F.col("aside_id").cast("string")
+    paragraph = F.concat(F.lit('<paragraphe code_grammaire="PAROLE_GENERIQUE" id_acteur="PA'), number, F.lit('"><orateurs><orateur><nom>Orateur '), number, F.lit("</nom></orateur></orateurs><texte>"), spoken, F.lit("</texte></paragraphe>"))
+    sheets = own.groupBy("session_uid").agg(F.array_join(F.collect_list(paragraph), "").alias("p"))  # a file is one sitting
+    path = scratch(spark, "reactions")
+    opened = F.concat(F.lit("<compteRendu><uid>"), F.col("session_uid"), F.lit("</uid><metadonnees><dateSeance>20240102150000000</dateSeance></metadonnees><contenu>"))
+    sheets.select(F.col("session_uid").alias("session"), F.concat(opened, F.col("p"), F.lit("</contenu></compteRendu>")).alias("value")).write.partitionBy("session").text(path)
+    rows = debates.asides(debates.paragraphs(spark, f"{path}/*/*.txt"), {c: c for c in codes})
+    return rows.where("record = 'reaction'").select(F.substring("acteur_id", 3, 20).cast("bigint").alias("aside_id"), "session_uid", "kind", "quote", F.array_join("groups", ",").alias("groups"))
+
+
 def s8_whole_texts(spark, sf_dir):
     """The subjects' expressions as texts whose file names hold the keys."""
     path, jvm = scratch(spark, "whole"), spark.sparkContext._jvm
@@ -283,6 +301,8 @@ _ALL = {
     "q5_topics": (q5_topics, f"""WITH {SAID}, {_PARTS}, t AS (SELECT section, {_LETTERS("debate_title")} AS a, {_LETTERS("dossier_title")} AS b FROM spoke) SELECT CASE WHEN section = 'QG' AND b <> '' THEN b ELSE a END AS debate_topic, section AS section_code, count(*) AS speeches FROM t GROUP BY ALL"""),
     "q7_interruptions": (q7_interruptions, f"""WITH {ASIDES}, {_CUT}, w AS (SELECT session_uid, len(list_filter(string_split(own_norm, ' '), lambda t: t <> '')) AS n, regexp_matches(own_norm, '(^| )(demande la parole|s il vous pla[iî]t|veuillez|je retire mon)( |$)') AS formal FROM cut)
         SELECT session_uid, count(*) AS interruptions, sum(n)::BIGINT AS words, sum((n BETWEEN 2 AND 15 AND NOT formal)::INT)::BIGINT AS kept FROM w GROUP BY 1"""),
+    "q8_reactions": (q8_reactions, f"""WITH {ASIDES} SELECT aside_id, session_uid, CASE WHEN aside_id % 2 = 0 THEN 'applaudissement' ELSE 'protestation' END AS kind, trim('Bon ' || {_LETTERS("quote")}) || '.' AS quote, array_to_string(list_sort(list_distinct(group_codes)), ',') AS groups
+        FROM aside WHERE record_type = 'reaction' AND session_uid IS NOT NULL AND len(group_codes) > 0"""),
     "s8_whole_texts": (s8_whole_texts, "SELECT domain_id, row_number() OVER (ORDER BY domain_id)::INTEGER AS no, 'mots' AS kind, length(array_to_string(keywords, chr(10)))::INTEGER AS signs FROM domains"),
     "k3_publish": (k3_publish, "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1"),
     "k5_bundle": (k5_bundle, "SELECT domain_id, label, (SELECT count(*) FROM region)::INTEGER AS regions FROM domains"),

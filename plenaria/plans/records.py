@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions import room, speech, stances
 from plenaria.functions.periods import Period, presets
-from plenaria.functions.text import ACCENTED, BARE, CRAWLERS, campaign, fold, is_crawler, paris_day, slug
+from plenaria.functions.text import ACCENTED, BARE, CRAWLERS, campaign, constituency, digit_runs, fold, fold_aligned, is_crawler, paris_day, slug
 from plenaria.operators import lexical, lookups
 from plenaria.operators.attribution import attributed
 from plenaria.operators.ranks import peer_ranks
@@ -371,6 +371,25 @@ def t29_sources(spark, sf_dir):
     return own.groupBy(campaign("source").alias("campaign"), is_crawler("source").alias("crawler")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def t3_aligned(spark, sf_dir):
+    """Quotes of asides folded sign by sign."""
+    own = table(spark, sf_dir, "asides", "aside_id", "quote").where("quote is not null").dropDuplicates(["aside_id"])
+    return own.select("aside_id", fold_aligned("quote").alias("folded"), (F.length(fold_aligned("quote")) == F.length("quote")).alias("aligned"))
+
+
+def t21_numbers(spark, sf_dir):
+    """Numbers in the raw lines, in their order."""
+    own = table(spark, sf_dir, "transcript_lines", "session_uid", "line_no", "raw_text").where("session_uid is not null and line_no is not null and raw_text is not null").distinct()
+    return own.select("session_uid", "line_no", digit_runs("raw_text").alias("numbers")).where("numbers <> ''").distinct()
+
+
+def t30_constituencies(spark, sf_dir):
+    """Codes of constituencies read back into department and number."""
+    own = table(spark, sf_dir, "seats").where("department <> '' and constituency_no is not null").select(F.concat("department", F.lpad(F.col("constituency_no").cast("string"), 3, "0")).alias("code")).distinct()
+    read = constituency("code", {"976": "mayotte"})
+    return own.select("code", read["department"].alias("department"), read["number"].alias("number"))
+
+
 _LAB = "lab AS (SELECT DISTINCT sid, domain_id FROM topic_labels WHERE sid IS NOT NULL AND domain_id IS NOT NULL)"
 _NAME = lambda c: f"regexp_replace({fold_sql(c)}, '^(monsieur|madame|m|mme|mm) ', '')"
 _KEYS = f"""keyed AS (SELECT domain_id, {fold_sql("k")} AS k FROM (SELECT domain_id, unnest(keywords) AS k FROM domains)),
@@ -436,6 +455,10 @@ _ALL = {
     "r30_attendance": (r30_attendance, f"""WITH {SAID}, u AS (SELECT session_uid, p.acteur_id, 1 AS s, 0 AS l FROM said JOIN politicians p USING (pid) WHERE session_uid IS NOT NULL UNION ALL SELECT session_uid, acteur_id, 0, 1 FROM transcript_lines WHERE session_uid IS NOT NULL AND acteur_id <> ''), e AS (SELECT session_uid, acteur_id, max(s) AS s, max(l) AS l FROM u GROUP BY ALL)
         SELECT session_uid, sum(s)::BIGINT AS in_speeches, sum(l)::BIGINT AS in_lines, sum(s * l)::BIGINT AS both FROM e GROUP BY 1"""),
     "t29_sources": (t29_sources, f"""SELECT nullif(regexp_replace(substring(regexp_replace(translate(lower(source), '{ACCENTED}', '{BARE}'), '[^a-z0-9_-]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g'), '') AS campaign, coalesce(source, '') = '' OR regexp_matches(lower(source), '{"|".join(CRAWLERS)}') AS crawler, count(*) AS documents FROM documents GROUP BY ALL"""),
+    "t3_aligned": (t3_aligned, f"""SELECT aside_id, regexp_replace(translate(lower(quote), '{ACCENTED}', '{BARE}'), '[^a-z0-9]', ' ', 'g') AS folded, length(lower(quote)) = length(quote) AS aligned FROM (SELECT aside_id, any_value(quote) AS quote FROM asides GROUP BY 1) WHERE quote IS NOT NULL"""),
+    "t21_numbers": (t21_numbers, r"SELECT DISTINCT session_uid, line_no, array_to_string(regexp_extract_all(raw_text, '\d+'), ',') AS numbers FROM transcript_lines WHERE session_uid IS NOT NULL AND line_no IS NOT NULL AND len(regexp_extract_all(raw_text, '\d+')) > 0"),
+    "t30_constituencies": (t30_constituencies, """WITH c AS (SELECT DISTINCT department || lpad(constituency_no::VARCHAR, 3, '0') AS code FROM seats WHERE department <> '' AND constituency_no IS NOT NULL), w AS (SELECT code, CASE WHEN substr(code, 1, 2) IN ('97', '98') THEN 3 ELSE 2 END AS n FROM c)
+        SELECT code, CASE WHEN substr(code, 1, n) = '976' THEN 'mayotte' ELSE substr(code, 1, n) END AS department, try_cast(substr(code, n + 1, 9) AS INTEGER) AS number FROM w"""),
     "t25_days": (t25_days, "SELECT strftime(timezone('Europe/Paris', published_at::TIMESTAMPTZ), '%Y-%m-%d') AS day, count(*) AS documents FROM documents WHERE published_at IS NOT NULL GROUP BY 1"),
 }
 QUERIES = {name: run for name, (run, _) in _ALL.items()}

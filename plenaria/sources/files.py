@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import json
 import re
+import stat
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -79,6 +81,26 @@ def zip_members(spark: SparkSession, pattern: str, suffix: str = "") -> DataFram
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "path string, member string, content binary")
 
 
+def extract(archive: str, folder: str, most_bytes: int = 1 << 30) -> list[str]:
+    """Unpack a local ZIP archive into a folder: the paths written, in order.
+
+    An absolute member, one that climbs out of the folder, or a link refuses the whole archive before anything is
+    written, as do more than ``most_bytes`` in all; nothing is written over.
+    """
+    root = Path(folder).resolve()
+    with zipfile.ZipFile(archive) as held:
+        members = sorted((m for m in held.infolist() if not m.is_dir()), key=lambda m: m.filename)
+        for m in members:
+            place = (root / m.filename).resolve()
+            if not place.is_relative_to(root) or stat.S_ISLNK(m.external_attr >> 16):
+                raise ValueError(f"{m.filename} doesn't stay in the folder")
+            if place.exists():
+                raise FileExistsError(str(place))
+        if sum(m.file_size for m in members) > most_bytes:
+            raise ValueError("the archive is too large")
+        return [held.extract(m, root) for m in members]
+
+
 def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """``path`` and ``line``: a document on each line that isn't blank."""
     return spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.trim("line") != "")
