@@ -41,8 +41,8 @@ SET_FLAT = 0.35
 WORD_SHARE = 0.4
 #: Least lead of the best subject over the next, as a logarithm, for a sentence to be about it.
 MARGIN = 2.0
-#: Defaults of :func:`subjects`: a subject's least share of the sentences about any, sentences of a document in which
-#: one is enough, and subjects of a document (None: as many as reach the share).
+#: Defaults of :func:`subjects`: a subject's least share of the sentences about any, sentences of a document (without set
+#: phrases) in which one is enough, and subjects of a document (None: as many as reach the share).
 LEAST_SHARE, SHORT, MOST = 0.2, 3, 2
 #: Characters of sentences whose reading a task remembers; forgetting them costs time only.
 REMEMBERED = 20_000_000
@@ -56,10 +56,10 @@ _NO_WORD = (b"", 0, 0, ())
 
 
 def sentences(paragraphs) -> list[str]:
-    """Sentences of all paragraphs in lower case; a paragraph's end ends one."""
+    """Sentences of all paragraphs; a paragraph's end ends one."""
     if paragraphs is None:
         return []
-    return _SENTENCE.split("\n".join([p for p in paragraphs if p]).lower())
+    return _SENTENCE.split("\n".join([p for p in paragraphs if p]))
 
 
 # --- arrays ----------------------------------------------------------------------
@@ -131,14 +131,23 @@ class _Tokens(dict):
 
 
 def _buckets(words: list[str]) -> tuple[int, ...]:
-    return tuple([zlib.crc32(w.encode()) % BUCKETS for w in words])
+    return tuple([zlib.crc32(w.lower().encode()) % BUCKETS for w in words])
+
+
+def _plain(words: list[str]) -> str:
+    return "".join([f" {w.lower()}" for w in words])
+
+
+def _common(words: list[str]) -> str:
+    return "".join([f" {w}" for w in words if not w[0].isupper()])
 
 
 def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int, str]], subjects: int):
     """A partition function from texts to arrays, with the document frequency of each bucket of words and the uses of each bucket of fingerprints at the end.
 
-    A sentence holds the buckets of its distinct words and a fingerprint of all its words in their
-    order; a document's bag has the buckets of its content with the sentences that use them.
+    A sentence holds the buckets of its distinct words and a fingerprint of its words in their order, those
+    with a capital after the first left out (a phrase stays the same whoever or whatever place it names), unless
+    these are most of them. A document's bag has the buckets of its content with the sentences that use them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +166,7 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
             first_words.add(_buckets(k.split())[0])
         if keywords:
             finder.make_automaton()
-        buckets_of, plain_of, hash_of = _Tokens(_buckets).__getitem__, _Tokens(lambda words: "".join([f" {w}" for w in words])).__getitem__, xxhash.xxh64_intdigest
+        buckets_of, plain_of, common_of, hash_of = _Tokens(_buckets).__getitem__, _Tokens(_plain).__getitem__, _Tokens(_common).__getitem__, xxhash.xxh64_intdigest
         known: dict[str, tuple] = {}
         room = REMEMBERED
         frequency, uses, live, kinds_of = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0, None
@@ -168,9 +177,11 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
             tokens = sentence.split()
             if not (own := set(chain.from_iterable(map(buckets_of, tokens)))):
                 return _NO_WORD
-            joined = "".join(map(plain_of, tokens))
-            hits = tuple([d for _, d in finder.iter(f"{joined} ")]) if not own.isdisjoint(first_words) else ()
-            entry = (array("i", own).tobytes(), len(own), hash_of(f"{joined}\n" if sentence[-1] == "\n" else joined) - (1 << 63), hits)
+            hits = tuple([d for _, d in finder.iter("".join(map(plain_of, tokens)) + " ")]) if not own.isdisjoint(first_words) else ()
+            phrase = plain_of(tokens[0]) + "".join(map(common_of, tokens[1:]))
+            if 2 * phrase.count(" ") < len(tokens):
+                phrase = "".join(map(plain_of, tokens))
+            entry = (array("i", own).tobytes(), len(own), hash_of(f"{phrase}\n" if sentence[-1] == "\n" else phrase) - (1 << 63), hits)
             room -= len(sentence)
             if room < 0:
                 known.clear()
@@ -193,7 +204,7 @@ def encoder(key: str, content: str, titles: list[str], keywords: list[tuple[int,
                             hits[i, d] += 1
                 for kind, heading in enumerate(named, 1):
                     if heading[i]:
-                        entry = known.get(s := heading[i].lower().rstrip("\n") + "\n") or read(s)
+                        entry = known.get(s := heading[i].rstrip("\n") + "\n") or read(s)
                         if entry[1]:
                             heads.append((len(entries), kind))
                             entries.append(entry)
@@ -521,7 +532,8 @@ class SubjectModel:
                 e = Spoken.read(batch)
                 found = classifier.sentence_subjects(e)
                 mix = classifier.mixtures(e, found)
-                lengths = np.bincount(e.owner[e.title == 0], minlength=e.documents)
+                own = (e.title == 0) & ~np.isin(e.prints, classifier.set_phrases)
+                lengths = np.bincount(e.owner[own], minlength=e.documents)
                 dealt = dealt_with(mix, lengths, least_share, short, most)
                 rows, cols = np.nonzero(dealt)
                 share = mix[rows, cols] / mix.sum(axis=1)[rows]
@@ -561,8 +573,8 @@ def subjects(speeches: DataFrame, domains: DataFrame, topic_labels: DataFrame, l
     3. Terms give sentences their subjects; sentences used all over are set phrases and
        speak for none. Terms are counted once more in the sentences about each subject.
     4. The sentences of a speech give its mixture. Content deals with a subject that has two sentences
-       and ``least_share`` of them (one, in a speech of ``short`` sentences or fewer); a lone sentence
-       in a longer one is a passing remark. At most ``most`` subjects stand, the ones with most
+       and ``least_share`` of them (one, in a speech of ``short`` sentences or fewer, set phrases not counted); a
+       lone sentence in a longer one is a passing remark. At most ``most`` subjects stand, the ones with most
        sentences (None: all). Where content deals with none, the subject of ``dossier_title``, else of
        ``debate_title``, is taken.
 
