@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plenaria.functions.text import tokens, words_only
 from plenaria.plans.history import day_sql
+from plenaria.session import spread
 from plenaria.sources.tables import day, last_delivered, table
 
 
@@ -17,7 +18,8 @@ def said(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     of one load time agree, so any stands for all.
     """
     df = table(spark, sf_dir, "speeches", "sid", "pid", "party", "speech_date", "session_uid", "loaded_at", *more)
-    once = last_delivered(df.where("sid is not null"), "sid", "loaded_at").drop("loaded_at")
+    keyed = df.where("sid is not null")
+    once = last_delivered(spread(keyed) if "content" in more else keyed, "sid", "loaded_at").drop("loaded_at")
     return once.withColumn("party", F.upper(F.trim(F.coalesce("party", F.lit(""))))).withColumn("day", day("speech_date")).withColumn("month", F.date_format("day", "yyyy-MM")).drop("speech_date")
 
 

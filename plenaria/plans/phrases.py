@@ -10,6 +10,7 @@ from plenaria.operators import facts, lexical
 from plenaria.operators.ranks import merged_phrases
 from plenaria.operators.topk import top_k
 from plenaria.plans.base import SAID, SPOKEN, grams_sql, said, spoken, words_sql
+from plenaria.session import written
 from plenaria.sources.tables import table
 
 SIZES = (1, 2, 3)
@@ -83,7 +84,7 @@ def party_phrases(spark, sf_dir, n: int = 2):
     """Counts of each group's phrases, its total, and the phrases that the corpus holds five times."""
     own = spoken(spark, sf_dir).where("party <> ''")
     grams = facts.exploded_ngrams(own, "tokens", (n,), ["party", "session_uid"])
-    counts = grams.groupBy("party", "n", "ngram").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_uid").alias("sittings"))
+    counts = written(grams.groupBy("party", "n", "ngram").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_uid").alias("sittings")))  # read three times
     totals = facts.ngram_totals(own, "tokens", (n,), ["party"])
     every = counts.groupBy("n", "ngram").agg(F.sum("count").alias("total"))  # from the counts, not from the text again
     corpus = every.where("total >= 5").join(F.broadcast(every.groupBy("n").agg(F.sum("total").alias("corpus"))), "n")  # one row for each size

@@ -65,6 +65,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over as many partitions as a shuffle has, where its files give fewer than half as many.
+
+    A small file is one partition, and work on its texts would be one task; a large table has partitions enough and stays as it
+    is. For plain scans only: the number is asked of the plan, which must not have to run.
+    """
+    parts = shuffle_partitions(scan.sparkSession)
+    return scan.repartition(parts) if 2 * scan.rdd.getNumPartitions() < parts else scan
+
+
 def _bytes(df: DataFrame) -> Column:
     """About how many bytes a row's values take."""
     sizes = F.lit(0)
